@@ -16,10 +16,11 @@ SYMBOLS = "[^#*$%&|<>]+"
 BUCKETS = 1 << 14
 #: Trusted documents that fit the target multinomial, at most; those with the smallest hashes are taken.
 TRUSTED_ROWS = 20_000
-#: Added to each bucket's count, as a share of a bucket's mean count.
-SMOOTHING = 0.1
+#: Strength of the target's prior, which is the corpus itself, in n-grams for each bucket: where the trusted
+#: documents have seen little, the ratio stays near 0, so few trusted rows do not condemn clean text.
+PRIOR = 16
 #: Least mean log ratio of a kept document.
-THRESHOLD = -0.07
+THRESHOLD = -0.06
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW = 8
@@ -72,8 +73,9 @@ def ratios(raw: list[int], good: list[int]) -> list[float]:
     n, m, k = sum(raw), sum(good), len(raw)
     if not n or not m:
         return [0.0] * k
-    a, b = SMOOTHING * m / k, SMOOTHING * n / k
-    return [round(log((g + a) / (m + k * a)) - log((r + b) / (n + k * b)), 9) for r, g in zip(raw, good, strict=True)]
+    mu = float(PRIOR * k)
+    # log of ((g + mu * r / n) / (m + mu)) / (r / n); a bucket that the corpus never hits has ratio 0.
+    return [round(log((g * n / r + mu) / (m + mu)), 9) if r else 0.0 for r, g in zip(raw, good, strict=True)]
 
 
 def _literal(values: list[float]) -> Column:
