@@ -11,6 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm import toxicity
+
+    got = toxicity.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return got.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm import quality
 
@@ -31,5 +38,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op7_byte_bpe, op8_simhash)}
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm import pii
+
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op2_toxicity, op10_surrogates, op5_quality_rules, op7_byte_bpe, op8_simhash)}
 ORACLES: dict[str, str] = {}
