@@ -33,6 +33,11 @@ PATTERN_DOCS = 4
 CACHE = 400_000
 _ODD = re.compile("[\x1c-\x1f]")
 _BEYOND = re.compile("[^\x00-ɏ]")
+#: Chunks of these characters alone are normalised by lower-casing, and Python's classes tell their letters and digits.
+_PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-įı-ɏ]+")
+_PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: What the split pattern must be for _PRETOKEN to stand in for it.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class ChunkTokenizer:
@@ -50,13 +55,40 @@ class ChunkTokenizer:
         self.lower = "Lowercase" in kinds
         # Chunks are independent only for a tokenizer that drops white space.
         self.chunked = bool(spec.get("pre_tokenizer")) and "Removed" in json.dumps(spec["pre_tokenizer"]) and spec.get("post_processor") is None
+        split = [p.get("pattern", {}).get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.plain = self.chunked and kinds == ["NFC", "Replace", "Lowercase"] and split == [_SPLIT, None]
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.table = {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one pre-token, by the model alone."""
+        if word not in self.words:
+            if len(self.words) > CACHE:
+                self.words.clear()
+            mapped = word.encode().decode("latin-1").translate(self.table)
+            self.words[word] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        return self.words[word]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks joined by blanks, in one call, and take them apart by their places."""
+        """Ids of new chunks. Plain ones go to the model word by word; the others are encoded joined by blanks, in one
+        call, and taken apart by their places."""
+        if self.plain:
+            rest = []
+            for c in chunks:
+                if _PLAIN.fullmatch(c) and not ("<" in c and any(x in c for x in self.special)):
+                    words = _PRETOKEN.findall(c.lower())
+                    self.cache[c] = self._word(words[0]) if len(words) == 1 else b"".join(map(self._word, words))
+                else:
+                    rest.append(c)
+            chunks = rest
         for at in range(0, len(chunks), 4096):
             part = chunks[at : at + 4096]
             starts = np.cumsum([0, *(len(c) + 1 for c in part)])

@@ -6,11 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm import chat
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm import warc
+
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm import toxicity
 
@@ -18,6 +26,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm import sharding
+
+    return sharding.shard_rows(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm import quality
 
@@ -25,6 +45,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("llr", 6).alias("llr"))
 
 
+def op6_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm import bpe
 
@@ -38,11 +62,23 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm import neighbours
+
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm import pii
 
     return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op10_surrogates, op5_quality_rules, op7_byte_bpe, op8_simhash)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc, op2_toxicity, op3_packing, op4_sharding, op5_quality_rules, op6_perspectives, op7_byte_bpe, op8_simhash,
+        op9_neighbours, op10_surrogates)
+}
+#: The others hash, learn or iterate beyond what DuckDB has; tests/llm holds them against brute force.
+ORACLES: dict[str, str] = {"op6_perspectives": chat.ORACLE}
