@@ -7,7 +7,7 @@ fingerprints within the radius is lost. Each compared pair of tiles reports a sp
 instead of all pairs, which leaves connectivity as it is. Copies share a fingerprint and are never compared.
 
 Cost: the number of tile pairs grows with the square of the number of *distinct* fingerprints, less what the
-population counts rule out; the shuffle carries each fingerprint once per partner tile, at most MAX_TILES times.
+population counts rule out; the shuffle carries each fingerprint once per partner tile.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from palimpsest.llm.common import Workspace, connected_components, skew_join, so
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
-#: Fingerprints in a tile while there are few tiles; beyond MAX_TILES tiles, tiles grow instead.
-TILE_ROWS = 8192
-MAX_TILES = 256
+#: Tiles at most. Each fingerprint is sent once for each partner tile, so the number of tiles grows as the cube root
+#: of the number of fingerprints only: tiles grow too, and a task still holds no more than two.
+MAX_TILES = 512
 #: Rows and columns of one numpy comparison.
 BLOCK = 1024
 _MASK16 = np.uint64(0xFFFF)
@@ -162,7 +162,7 @@ def forest(values: np.ndarray, split: int | None, radius: int, block: int = BLOC
     return child, label[child]
 
 
-def links(ws: Workspace, distinct: DataFrame, name: str, radius: int = RADIUS, words: int = 1, tile_rows: int = TILE_ROWS) -> DataFrame:
+def links(ws: Workspace, distinct: DataFrame, name: str, radius: int = RADIUS, words: int = 1, tiles: int | None = None) -> DataFrame:
     """(u, v): links that connect the same rows as all pairs of `distinct` (rep long, fp binary, each fp once)
     within `radius` do."""
     step = 2 * words  # bytes in a quarter of the bits; a word's quarters for a single word
@@ -171,16 +171,17 @@ def links(ws: Workspace, distinct: DataFrame, name: str, radius: int = RADIUS, w
     order = [F.col(c) for c in ("q0", "q1", "q2", "q3", "fp")]
     placed = sorted_positions(ws, ordered, order, f"{name}-sorted", "at")
     n = distinct.count()
-    rows = max(tile_rows, -(-n // MAX_TILES))
+    tiles = min(MAX_TILES, tiles or max(4, round(n ** (1 / 3) / 3)))
+    rows = max(1, -(-n // tiles))
     tiled = placed.withColumn("tile", F.floor(F.col("at") / rows).cast("int"))
     # One row for each tile, MAX_TILES at most.
     boxes = tiled.groupBy("tile").agg(*[f(f"q{i}").alias(f"{k}{i}") for i in range(4) for k, f in (("lo", F.min), ("hi", F.max))]).collect()
     lows = {r["tile"]: np.array([r[f"lo{i}"] for i in range(4)]) for r in boxes}
     highs = {r["tile"]: np.array([r[f"hi{i}"] for i in range(4)]) for r in boxes}
-    tiles = sorted(lows)
-    partners: dict[int, list[int]] = {t: [] for t in tiles}
-    for i, a in enumerate(tiles):
-        for b in tiles[i:]:
+    numbers = sorted(lows)
+    partners: dict[int, list[int]] = {t: [] for t in numbers}
+    for i, a in enumerate(numbers):
+        for b in numbers[i:]:
             if _gap(lows[a], highs[a], lows[b], highs[b]) <= radius:
                 pair = a * MAX_TILES * 2 + b
                 partners[a].append(pair)
@@ -202,12 +203,12 @@ def links(ws: Workspace, distinct: DataFrame, name: str, radius: int = RADIUS, w
     return dealt.groupBy("pair").applyInArrow(compare, "u long, v long")
 
 
-def components(ws: Workspace, prints: DataFrame, key: str = "doc_id", radius: int = RADIUS, words: int = 1, tile_rows: int = TILE_ROWS) -> DataFrame:
+def components(ws: Workspace, prints: DataFrame, key: str = "doc_id", radius: int = RADIUS, words: int = 1, tiles: int | None = None) -> DataFrame:
     """(fp, component) for every fingerprint of `prints` (key, fp): the smallest key reachable over links."""
     classes = ws.table(prints.groupBy("fp").agg(F.min(key).alias("rep")), "classes")
     # A class whose keys are all null has no name and is no stepping stone; its component is null.
     named = classes.filter(F.col("rep").isNotNull())
-    edges = ws.table(links(ws, named, "tiles", radius, words, tile_rows), "edges")
+    edges = ws.table(links(ws, named, "tiles", radius, words, tiles), "edges")
     found = connected_components(ws, edges, "rounds")
     return classes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
 
