@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
@@ -30,7 +32,7 @@ END_ID = 0
 GRAINS = 64
 PATTERN_DOCS = 4
 #: Chunks of text whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 600_000
 _ODD = re.compile("[\x1c-\x1f]")
 _BEYOND = re.compile("[^\x00-ɏ]")
 #: Chunks of these characters alone are normalised by lower-casing, and Python's classes tell their letters and digits.
@@ -63,62 +65,45 @@ class ChunkTokenizer:
         self.table = {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.cache: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.model = self.tokenizer.model
-
-    def _word(self, word: str) -> bytes:
-        """Ids of one pre-token, by the model alone."""
-        if word not in self.words:
-            if len(self.words) > CACHE:
-                self.words.clear()
-            mapped = word.encode().decode("latin-1").translate(self.table)
-            self.words[word] = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-        return self.words[word]
+        self.tokenize = self.tokenizer.model.tokenize
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Ids of new chunks. Plain ones go to the model word by word; the others are encoded joined by blanks, in one
-        call, and taken apart by their places."""
-        if self.plain:
-            rest = []
-            for c in chunks:
-                if _PLAIN.fullmatch(c) and not ("<" in c and any(x in c for x in self.special)):
-                    words = _PRETOKEN.findall(c.lower())
-                    self.cache[c] = self._word(words[0]) if len(words) == 1 else b"".join(map(self._word, words))
-                else:
-                    rest.append(c)
-            chunks = rest
-        for at in range(0, len(chunks), 4096):
-            part = chunks[at : at + 4096]
-            starts = np.cumsum([0, *(len(c) + 1 for c in part)])
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            first = np.fromiter((a for a, _ in got.offsets), np.int64, len(ids))
-            cuts = np.searchsorted(first, starts)
-            for c, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                self.cache[c] = ids[a:b].tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk that is not remembered. The pre-tokens of a plain one go to the model by themselves."""
+        if self.plain and _PLAIN.fullmatch(chunk) and not ("<" in chunk and any(x in chunk for x in self.special)):
+            words = self.words
+            out = []
+            for word in _PRETOKEN.findall(chunk.lower()):
+                got = words.get(word)
+                if got is None:
+                    mapped = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.table)
+                    got = array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
+                    if len(words) > CACHE:
+                        words.clear()
+                    words[word] = got
+                out.append(got)
+            ids = out[0] if len(out) == 1 else b"".join(out)
+        else:
+            ids = self._whole(chunk)
         if len(self.cache) > CACHE:
             self.cache.clear()
-        pieces: list[list[str] | None] = []
-        fresh: dict[str, None] = {}
-        cache = self.cache
-        for text in texts:
-            if not self.chunked or _ODD.search(text):
-                pieces.append(None)
-                continue
-            if self.lower and not _BEYOND.search(text):
-                text = text.lower()
-            chunks = text.split()
-            pieces.append(chunks)
-            for c in chunks:
-                if c not in cache:
-                    fresh[c] = None
-        self._learn(list(fresh))
-        return [self._whole(t) if p is None else b"".join([cache[c] for c in p]) for t, p in zip(texts, pieces, strict=True)]
+        if len(chunk) <= 64:
+            self.cache[chunk] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of a text."""
+        if not self.chunked or _ODD.search(text):
+            return self._whole(text)
+        if self.lower and not _BEYOND.search(text):
+            text = text.lower()
+        chunks = text.split()
+        ids = list(map(self.cache.get, chunks))
+        if None in ids:
+            ids = [self._chunk(c) if i is None else i for c, i in zip(chunks, ids, strict=True)]
+        return b"".join(ids)
 
 
 _LOADED: dict[str, ChunkTokenizer] = {}
@@ -142,12 +127,14 @@ def pieces(df: DataFrame, path: str, key: str, text: str, size: int, with_ids: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = loaded(path)
         end = np.array([END_ID], "<u4").tobytes()
+        if sys.byteorder != "little":
+            raise RuntimeError("ids are packed on little-endian machines only")
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
                 row, piece, start, length, crc, ids = [], [], [], [], [], []
-                for i, data in enumerate(tokens.encode([t or "" for t in b.column(1).to_pylist()])):
-                    data += end
+                for i, t in enumerate(b.column(1).to_pylist()):
+                    data = tokens.encode(t or "") + end
                     for p, s in enumerate(range(0, len(data), 4 * size)):
                         own = data[s : s + 4 * size]
                         row.append(i)

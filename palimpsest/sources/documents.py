@@ -48,7 +48,7 @@ def forms(rows: DataFrame) -> DataFrame:
 
 def folder(spark: SparkSession, path: str, first_type: int = 1) -> DataFrame:
     """A document for each file below `path`: a type for each folder, a number for each file in it, by name."""
-    d = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    d = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     file = F.col("_metadata.file_path")
     d = d.select(F.col("value").alias("text"), F.regexp_extract(file, r"([^/]*)$", 1).alias("title"), F.regexp_replace(file, r"/[^/]*$", "").alias("dir"))
     # Folders are few against files; their numbers are joined back, so no task sorts all files.
