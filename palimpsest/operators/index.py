@@ -21,7 +21,8 @@ def write(table: DataFrame, path: str, files: int) -> None:
 
 def without(table: DataFrame, dropped: DataFrame) -> DataFrame:
     """Postings of documents not among `dropped` (doctype, docid)."""
-    return table.join(dropped.select("doctype", "docid").distinct(), ["doctype", "docid"], "left_anti")
+    left = table.join(dropped.select("doctype", "docid").distinct(), ["doctype", "docid"], "left_anti")
+    return left.select(*table.columns)
 
 
 def lines(table: DataFrame) -> DataFrame:
@@ -75,5 +76,3 @@ def windows(docs: DataFrame, config: MatchConfig) -> DataFrame:
     out = docs.select("doctype", "docid", total.alias("n_windows")).join(found, ["doctype", "docid"], "left")
     n = F.coalesce("n", F.lit(0))
     return out.select("doctype", "docid", "n_windows", (F.col("n_windows") - n).alias("n_blank"), F.coalesce("d", F.lit(0)).alias("n_distinct"))
-
-
