@@ -217,10 +217,10 @@ def captures(files: DataFrame) -> DataFrame:
     return spread.mapInArrow(run, CAPTURE)
 
 
-def write_index(ws: Workspace, found: DataFrame, name: str = "index") -> list[tuple[bytes, bytes, str, int, int]]:
+def write_index(ws: Workspace, found: DataFrame, name: str = "index", block_lines: int = BLOCK_LINES) -> list[tuple[bytes, bytes, str, int, int]]:
     """Write the index of captures; its master list: (first key, last key, file, directory offset and length)."""
     folder = ws.path(name)
-    lines = found.select("key", "page_id", "file", "offset", "length", "record_type")
+    lines = found.select("key", "page_id", "file", "offset", "length", "record_type", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[bytes] = []
@@ -237,15 +237,15 @@ def write_index(ws: Workspace, found: DataFrame, name: str = "index") -> list[tu
 
         for b in batches:
             for i in range(b.num_rows):
-                key, page_id, file, offset, length, kind = (b.column(c)[i].as_py() for c in range(6))
+                key, page_id, file, offset, length, kind, digest = (b.column(c)[i].as_py() for c in range(7))
                 if stream is None:
                     fs, base = opened(folder)
                     fs.create_dir(base, recursive=True)
                     part = f"{uuid.uuid4().hex}.cdx.gz"
                     path, stream = f"{folder}/{part}", fs.open_output_stream(f"{base}/{part}", compression=None)
-                block.append(key + b"\t" + json.dumps([page_id, file, offset, length, kind]).encode())
+                block.append(key + b"\t" + json.dumps([page_id, file, offset, length, kind, digest]).encode())
                 last = key
-                if len(block) == BLOCK_LINES:
+                if len(block) == block_lines:
                     flush()
         if stream is not None:
             if block:
@@ -288,7 +288,7 @@ class CaptureIndex:
         return self._kept(self.blocks, (file, at), lambda: gzip.decompress(read_range(file, at, size)).split(b"\n"))
 
     def scan(self, low: bytes) -> Iterator[tuple[bytes, list]]:
-        """(key, [page_id, file, offset, length, type]) in order of keys, from the first key not below `low`."""
+        """(key, [page_id, file, offset, length, type, digest]) in order of keys, from the first key not below `low`."""
         for part in self.master[bisect_left(self.lasts, low) :]:
             directory = self._directory(part)
             firsts = [d[0] for d in directory]
@@ -308,13 +308,13 @@ class CaptureIndex:
             out.append(value)
         return out
 
-    def capture(self, url: str | None, page_id: int | None, kind: str | None = None) -> list | None:
-        """The capture of a URL with a page id (and of a type, if given)."""
+    def capture(self, url: str | None, page_id: int | None, kind: str | None = None, digest: str | None = None) -> list | None:
+        """The first capture of a URL with a page id (of a type and of a payload, if given)."""
         want = capture_key(url, page_id)
         for key, value in self.scan(want):
             if key != want:
                 return None
-            if kind is None or value[4] == kind:
+            if kind in (None, value[4]) and digest in (None, value[5]):
                 return value
         return None
 
@@ -327,7 +327,7 @@ def look_up(urls: DataFrame, master: list[tuple[bytes, bytes, str, int, int]], u
         index = CaptureIndex(master)
         for b in batches:
             for u in sorted(b.column(0).to_pylist(), key=lambda x: capture_key(x, None)):
-                for page_id, file, offset, length, kind in index.captures(u):
+                for page_id, file, offset, length, kind, _ in index.captures(u):
                     r = read_record(file, offset, length)
                     yield pa.RecordBatch.from_pylist([{"url": u, "page_id": page_id, "record_type": kind, "payload": r.payload}], pa.schema([("url", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("payload", pa.binary())]))
 
@@ -348,7 +348,7 @@ def resolved(found: DataFrame, master: list[tuple[bytes, bytes, str, int, int]])
             for i in sorted(again, key=lambda i: capture_key(to_urls[i], to_ids[i])):
                 target = (to_urls[i], to_ids[i], digests[i])
                 if target not in known:
-                    at = index.capture(to_urls[i], to_ids[i], "response")
+                    at = index.capture(to_urls[i], to_ids[i], "response", digests[i])
                     if at is None:
                         raise ValueError(f"the response {target} is not in the index")
                     payload = read_record(*at[1:4]).payload
