@@ -93,8 +93,7 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
 
     Nearness is the largest inner product in double precision; ties go to the smaller key. A query's own key is no
     candidate. Vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a
-    null key; vectors of a length other than the most common one are searched among themselves; repeated rows (the
-    same key and vector) count once. With fewer candidates than `count`, all are returned; other columns are ignored.
+    null key; vectors of each length are searched among themselves; repeated rows (the same key and vector) count once. With fewer candidates than `count`, all are returned; other columns are ignored.
     """
     spark = df.sparkSession
     ws = Workspace(spark, "neighbours")
@@ -105,7 +104,7 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
     first = keys.withColumn("r", F.row_number().over(Window.partitionBy("c", "salt").orderBy("k"))).filter(F.col("r") <= count + 1)
     some = ws.table(first.groupBy("c").agg(F.slice(F.sort_array(F.collect_list("k")), 1, count + 1).alias("keys")), "keys")
     classes = ws.table(rows.groupBy("c", "dim").agg(F.any_value("v").alias("v")), "classes")
-    parts = [r["dim"] for r in classes.groupBy("dim").count().orderBy("dim").limit(64).collect()]
+    parts = [r["dim"] for r in classes.select("dim").distinct().orderBy("dim").collect()]  # one, but for stray lengths
     found = [_nearest_of(ws, rows.filter(F.col("dim") == d), classes.filter(F.col("dim") == d), some, d, every, count, pivots, prefix, share, block, query_block) for d in parts]
     if not found:
         found = [spark.createDataFrame([], "query_id long, rank int, k long, score double")]

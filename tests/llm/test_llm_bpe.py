@@ -1,0 +1,85 @@
+"""Byte-level BPE through sentencepiece against tiktoken, and back."""
+
+import hashlib
+
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from palimpsest.llm import bpe
+
+NAMES = ["byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"]
+PATH, PATTERN = public_tokenizers.path(NAMES[0]), public_tokenizers.PATTERN
+
+
+@pytest.fixture(scope="module", params=NAMES)
+def pair(request):
+    path = public_tokenizers.path(request.param)
+    ranks = bpe.load_ranks(path)
+    return bpe.loaded(path, PATTERN), tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def summary(library, text):
+    ids = library.encode_ordinary(text)
+    return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+
+
+@settings(max_examples=300, deadline=None)
+@given(text=st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("  \n\t'sabc019_▁<unk>é中")), max_size=200))
+def test_like_tiktoken(pair, text):
+    own, library = pair
+    ids = own.encode(text)
+    assert ids == library.encode_ordinary(text)
+    assert own.decode(ids) == text.encode()
+
+
+@pytest.mark.parametrize("text", ["", "a" * 5000, "ab" * 4000, " " * 3000 + "x", "\n" * 700, "▁▁ ▁x", "<|endoftext|>", "\x00\x01\x02", "unk <unk> <s> </s>", "日本" * 900])
+def test_hard_texts(pair, text):
+    own, library = pair
+    assert own.encode(text) == library.encode_ordinary(text)
+    assert own.summary(text) == summary(library, text)
+
+
+def test_every_token_comes_back(pair):
+    own, _ = pair
+    assert all(own.decode([r]) == t for t, r in own.ranks.items())
+
+
+def test_edges(edge, edge_rows):
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
+    got = sorted(((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.digests(edge, PATH, PATTERN).collect()), key=str)
+    assert got == sorted(((k, *summary(library, t or "")) for k, t in edge_rows), key=str)
+
+
+def test_query(spark, sf_dir, document_rows):
+    from palimpsest.llm.queries import op7_byte_bpe
+
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
+    df = op7_byte_bpe(spark, sf_dir)
+    assert df.dtypes == [("doc_id", "bigint"), ("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
+    assert sorted(map(tuple, df.collect())) == sorted((k, *summary(library, t or "")) for k, t in document_rows)
+
+
+def test_there_and_back(edge, edge_rows):
+    ids = bpe.encode_documents(edge, PATH, PATTERN)
+    back = bpe.decode_documents(ids, PATH, PATTERN)
+    assert sorted(((r["doc_id"], bytes(r["data"])) for r in back.collect()), key=str) == sorted(((k, (t or "").encode()) for k, t in edge_rows), key=str)
+
+
+def test_empty(no_documents):
+    assert bpe.digests(no_documents, PATH, PATTERN).count() == 0
+    assert bpe.encode_documents(no_documents, PATH, PATTERN).count() == 0
+
+
+def test_slices_join(monkeypatch):
+    own = bpe.loaded(PATH, PATTERN)
+    text = "one two  three\n" * 9000  # more pre-tokens than a slice
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    assert own.summary(text) == summary(library, text)
+
+
+def test_a_vocabulary_without_bytes():
+    with pytest.raises(ValueError):
+        bpe.ByteBPE({b"a": 0}, PATTERN)
