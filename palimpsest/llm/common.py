@@ -86,6 +86,17 @@ def unique_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def fenced(df: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """`df` with the columns `made`, each worked out once for a row.
+
+    Catalyst copies a column's whole expression into every filter on it, also into those that it infers below
+    explode(). It never copies what is not deterministic, so the columns travel in a struct with a row number.
+    """
+    fence = F.struct(*[c.alias(n) for n, c in made.items()], (F.monotonically_increasing_id() >= 0).alias("__done"))
+    own = [c for c in df.columns if c not in made]
+    return df.select(*own, fence.alias("__fence")).select(*own, *[F.col("__fence").getField(n).alias(n) for n in made])
+
+
 def ranked(df: DataFrame, groups: list[str], order: list[Column], out: str, salts: int = RANK_SALTS) -> DataFrame:
     """Gapless rank from 0 within each group, in an arbitrary but repeatable order.
 

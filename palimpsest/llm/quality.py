@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import fenced
+
 #: Words are runs of anything but ASCII white space.
 SPACE = "[ \\t-\\r]+"
 SYMBOLS = "[^#*$%&|<>]+"
@@ -59,7 +61,7 @@ def log_ratios(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """
     marked = df.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__t")).join(
         F.broadcast(trusted_ids(labels).withColumn("__good", F.lit(1))), "__id", "left")
-    grams = with_words(marked, "__t").select("__good", F.explode(buckets()).alias("b"))
+    grams = fenced(with_words(marked, "__t").select("__good", "__h1", "__h2"), {"__b": buckets()}).select("__good", F.explode("__b").alias("b"))
     counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("__good").alias("good"))
     raw, good = [0] * BUCKETS, [0] * BUCKETS
     for r in counts.collect():  # BUCKETS rows at most
@@ -108,13 +110,13 @@ def scored(df: DataFrame, weights: list[float], text: str = "text", threshold: f
     table = _literal(weights)
     d = d.withColumn("__b", buckets())
     total = F.aggregate("__b", F.lit(0.0), lambda a, b: a + F.element_at(table, b + 1))
-    d = d.select(
-        *[F.col(c) for c in own], F.col("__n").cast("long").alias("n_words"),
-        F.length(F.regexp_replace(t, SPACE, "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace(t, SYMBOLS, "")).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        covered.cast("long").alias("n_repeat_words"),
-        F.when(F.size("__b") > 0, total / F.size("__b")).otherwise(0.0).alias("llr"))
+    d = fenced(d, {
+        "n_words": F.col("__n").cast("long"),
+        "word_chars": F.length(F.regexp_replace(t, SPACE, "")).cast("long"),
+        "n_symbols": F.length(F.regexp_replace(t, SYMBOLS, "")).cast("long"),
+        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+        "n_repeat_words": covered.cast("long"),
+        "llr": F.when(F.size("__b") > 0, total / F.size("__b")).otherwise(0.0)}).select(*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return d.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
