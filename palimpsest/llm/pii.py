@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Workspace, skew_join
+from palimpsest.llm.common import Workspace, fenced, input_partitions, skew_join
 
 KEY = "palimpsest"
 MAX_ATTEMPTS = 40
@@ -47,6 +47,8 @@ KINDS = [
 ]
 #: Every occurrence of any kind.
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
+#: Stands around entities while a text is split; texts that hold it themselves are split in another way.
+MARK = "\uFDD0"
 #: No text without one of these has an entity; it spares most texts the pattern.
 HINT = r"\d{3}|\d\.\d|@|AKIA|ASIA|[Pp]assw|[Ss]ecret|token|api_key|" + _TITLED + r" \p{Lu}"
 
@@ -136,11 +138,8 @@ def _name(entity: Column, female: Column, stream: Column) -> Column:
     return F.array_join(F.transform(words, word), " ")
 
 
-def surrogate(entity: Column, female: Column, attempt: Column, key: str = KEY) -> Column:
-    """The surrogate of one entity at one attempt."""
-    of = kind(entity, female)
-    canon = canonical(entity, of)
-    s = _stream(of, canon, attempt, key)
+def surrogate(entity: Column, female: Column, of: Column, canon: Column, s: Column) -> Column:
+    """The surrogate of one entity of kind `of`, by its canonical form and stream."""
     address = F.concat_ws(".", *[(_byte(s, i) % (223 if i == 0 else 254) + 1).cast("string") for i in range(4)])
     mail = F.concat(_masked(F.substring_index(canon, "@", 1), s), F.lit("@"), F.when(F.substring_index(canon, "@", -1).rlike(r"(^|\.)example\.(com|net|org)$"), F.substring_index(canon, "@", -1)).otherwise(F.lit("example.org")))
     digits = F.regexp_replace(canon, r"^\+", "")
@@ -153,14 +152,32 @@ def surrogate(entity: Column, female: Column, attempt: Column, key: str = KEY) -
             .when(of.isin("woman", "man"), _name(entity, female, s)).otherwise(_masked(entity, s)))
 
 
+def surrogates(entities: Column, attempts: Column, key: str = KEY) -> Column:
+    """The surrogates of an array of entities (e, f: after a woman's title). What several branches need is worked out
+    step by step, once for each entity. `attempts` maps spellings to attempts, 0 where they have none."""
+    kinds = F.transform(entities, lambda x: F.struct(x["e"].alias("e"), x["f"].alias("f"), kind(x["e"], x["f"]).alias("k")))
+    canons = F.transform(kinds, lambda x: F.struct(x["e"].alias("e"), x["f"].alias("f"), x["k"].alias("k"), canonical(x["e"], x["k"]).alias("c")))
+    tries = lambda x: F.coalesce(F.try_element_at(attempts, spelling(x["e"], x["f"])), F.lit(0))
+    streams = F.transform(canons, lambda x: F.struct(x["e"].alias("e"), x["f"].alias("f"), x["k"].alias("k"), x["c"].alias("c"), _stream(x["k"], x["c"], tries(x), key).alias("s")))
+    return F.transform(streams, lambda x: surrogate(x["e"], x["f"], x["k"], x["c"], x["s"]))
+
+
+def spelling(entity: Column, female: Column) -> Column:
+    """What tells occurrences apart: the entity as it stands and the title before it."""
+    return F.concat(F.when(female, "f").otherwise("m"), entity)
+
+
 def with_entities(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds __e: the entities of each text in order, with repeats; and __f: for each, whether a woman's title
-    stands before it."""
+    """Adds __p: the parts of each text between entities, one more than there are entities; __e: the entities in
+    order, with repeats; __f: for each, whether a woman's title stands before it."""
     t = F.coalesce(F.col(text), F.lit(""))
-    found = F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    d = df.withColumn("__e", found)
-    parts = F.when(F.size("__e") > 0, F.split(t, PATTERN, -1)).otherwise(F.array(t))
-    d = d.withColumn("__p", parts)
+    found = F.split(F.regexp_replace(t, PATTERN, f"{MARK}$0{MARK}"), MARK, -1)
+    apart = F.zip_with(F.split(t, PATTERN, -1), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0)), lambda p, e: F.when(e.isNull(), F.array(p)).otherwise(F.array(p, e)))
+    # Parts and entities in turn.
+    turns = F.when(~t.rlike(HINT), F.array(t)).when(t.contains(MARK), F.flatten(apart)).otherwise(found)
+    d = fenced(df, {"__t": turns})
+    odd = lambda n: F.filter("__t", lambda _, i: i % 2 == n)
+    d = d.withColumn("__p", odd(0)).withColumn("__e", odd(1)).drop("__t")
     women = "(?:" + "|".join(x.replace(".", r"\.") for x in _TITLES_F) + ") $"
     return d.withColumn("__f", F.transform(F.slice("__p", F.lit(1), F.size("__e")), lambda p: F.coalesce(p.rlike(women), F.lit(False))))
 
@@ -179,18 +196,25 @@ def retries(ws: Workspace, entities: DataFrame, key: str = KEY) -> DataFrame:
     Two collide when they share a surrogate's canonical form, or when a surrogate is an original of the same kind.
     Of those that share, the smallest canonical form keeps its attempt.
     """
-    made = lambda d: d.withColumn("s", canonical(surrogate(F.col("entity"), F.col("female"), F.col("attempt"), key), F.col("kind")))
-    current = ws.table(made(entities.withColumn("attempt", F.lit(0))), "surrogates0")
+    def made(d: DataFrame) -> DataFrame:
+        d = fenced(d, {"__stream": _stream(F.col("kind"), F.col("canon"), F.col("attempt"), key)})
+        d = fenced(d, {"__new": surrogate(F.col("entity"), F.col("female"), F.col("kind"), F.col("canon"), F.col("__stream"))})
+        return d.withColumn("s", canonical(F.col("__new"), F.col("kind"))).drop("__new", "__stream")
+
+    # Spread by number: the table is small, but each row takes long.
+    spread = entities.repartition(input_partitions(entities), "kind", "canon")
+    current = ws.table(made(spread.withColumn("attempt", F.lit(0))), "surrogates0")
     originals = entities.select("kind", F.col("canon").alias("s")).withColumn("taken", F.lit(True))
     for i in range(1, MAX_ATTEMPTS):
         holders = current.groupBy("kind", "s").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count(F.lit(1)).alias("n"))
         owned = holders.join(originals, ["kind", "s"], "left").filter((F.col("n") > 1) | F.col("taken"))
         bad = current.join(owned, ["kind", "s"], "inner").filter(F.col("taken") | (F.col("first.canon") != F.col("canon"))).select("kind", "canon")
-        bad = ws.table(bad.withColumn("bad", F.lit(True)), f"bad{i}")
+        bad = ws.table(bad, f"bad{i}")
         if bad.isEmpty():
             break
-        moved = current.join(bad, ["kind", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce(F.col("bad").cast("int"), F.lit(0))).drop("bad", "s")
-        current = ws.table(made(moved), f"surrogates{i}")
+        # Only what collides is worked out again.
+        moved = current.join(bad, ["kind", "canon"], "left_semi").drop("s").withColumn("attempt", F.col("attempt") + 1)
+        current = ws.table(current.join(bad, ["kind", "canon"], "left_anti").unionByName(made(moved)), f"surrogates{i}")
     else:
         raise RuntimeError("too few surrogates for the entities of some kind")
     return current.filter("attempt > 0").select("kind", "canon", "attempt")
@@ -209,7 +233,6 @@ def replace(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     entities = ws.table(entity_table(found), "entities")
     again = ws.table(retries(ws, entities, key), "retries")
     none = F.expr("map_from_arrays(cast(array() as array<string>), cast(array() as array<int>))")
-    spelling = lambda e, f: F.concat(F.when(f, "f").otherwise("m"), e)
     if again.isEmpty():
         found = found.withColumn("__a", none)
     else:  # attempts of a text's entities, by the text's digest; copies share theirs
@@ -218,9 +241,7 @@ def replace(df: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
         spelt = spelt.select("__d", "x.e", "x.f").withColumn("kind", kind(F.col("e"), F.col("f"))).withColumn("canon", canonical(F.col("e"), F.col("kind")))
         hit = skew_join(spelt, again, ["kind", "canon"], "inner").groupBy("__d").agg(F.map_from_entries(F.collect_set(F.struct(spelling(F.col("e"), F.col("f")), "attempt"))).alias("__a"))
         found = skew_join(found.withColumn("__d", digest), hit, ["__d"], "left").withColumn("__a", F.coalesce("__a", none)).drop("__d")
-    made = F.transform(
-        F.arrays_zip(F.col("__e").alias("e"), F.col("__f").alias("f")),
-        lambda x: surrogate(x["e"], x["f"], F.coalesce(F.try_element_at(F.col("__a"), spelling(x["e"], x["f"])), F.lit(0)), key))
+    made = surrogates(F.arrays_zip(F.col("__e").alias("e"), F.col("__f").alias("f")), F.col("__a"), key)
     joined = F.array_join(F.zip_with("__p", made, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
     replaced = F.when(F.size("__e") > 0, joined).otherwise(F.col(text))
     return found.select(*[replaced.alias(c) if c == text else F.col(c) for c in base.columns], F.size("__e").cast("long").alias("n_entities"))

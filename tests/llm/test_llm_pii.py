@@ -152,3 +152,11 @@ def test_no_python_on_the_main_path(documents):
 def test_spans(spark, text, want):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert pii.with_entities(df).first()["__e"] == want == split_by(text)[1]
+
+
+def test_a_text_with_the_mark(spark):
+    text = f"{pii.MARK}a@b.co{pii.MARK} and {pii.MARK}{pii.MARK}10.0.0.1 end"
+    df = spark.createDataFrame([(1, text), (2, "a@b.co")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace(df).collect()}
+    pairs = aligned(text, got[1])
+    assert [e for e, _ in pairs] == ["a@b.co", "10.0.0.1"] and pairs[0][1] == got[2]
