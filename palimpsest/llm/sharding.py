@@ -47,13 +47,14 @@ def propagate(ws: Workspace, nodes: DataFrame, members: DataFrame, rounds: int =
     for i in range(rounds):
         placed = members.join(nodes.select("node", "shard"), "node", "inner")
         counts = placed.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
-        top = counts.groupBy("hub").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("t"), F.count(F.lit(1)).alias("parts"))
-        divided = top.filter("parts > 1").select("hub", (-F.col("t.s")).alias("to"), F.col("t.n").alias("most"))
+        # Ties go by a hash that changes with the round, so groups do not all press into one shard, or into a full one again.
+        top = counts.groupBy("hub").agg(F.max(F.struct("n", F.xxhash64("hub", "shard", F.lit(i)).alias("h"), "shard")).alias("t"), F.count(F.lit(1)).alias("parts"))
+        divided = top.filter("parts > 1").select("hub", F.col("t.shard").alias("to"), F.col("t.n").alias("most"))
         away = counts.join(divided, "hub", "inner").filter(F.col("shard") != F.col("to"))
         asks = skew_join(placed, away, ["hub", "shard"], "inner").withColumn("gain", F.col("most") - F.col("n") + 1)
         asks = asks.groupBy("node", "shard", "to").agg(F.sum("gain").alias("gain"))
-        asks = asks.groupBy("node", "shard").agg(F.max(F.struct("gain", (-F.col("to")).alias("t"))).alias("best"))
-        asks = ws.table(asks.select("node", "shard", (-F.col("best.t")).alias("to")), f"asks{i}")
+        asks = asks.groupBy("node", "shard").agg(F.max(F.struct("gain", F.xxhash64("node", "to", F.lit(i)).alias("h"), "to")).alias("best"))
+        asks = ws.table(asks.select("node", "shard", F.col("best.to").alias("to")), f"asks{i}")
         wanted = {(r["shard"], r["to"]): r["count"] for r in asks.groupBy("shard", "to").count().collect()}  # shards squared at most
         if not wanted:
             break
