@@ -237,7 +237,7 @@ def radius_for(similarity: float, words: int, slack: float = 2.0) -> int:
     return int(np.ceil(n * p + slack * (n * p * (1 - p)) ** 0.5))
 
 
-def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, size: int = 5, words: int = 8) -> DataFrame:
+def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, size: int = 5, words: int = 16) -> DataFrame:
     """The rows of `df` without near-duplicates: of each component the row with the smallest key stays.
 
     Texts link when SimHashes of their `size`-word shingles, `words` 64-bit words wide, are within the distance that
