@@ -66,7 +66,7 @@ def test_propagation_gathers_what_is_scattered(spark):
     got = {r["node"]: r["shard"] for r in after.collect()}
     assert Counter(got.values()) == Counter(s for _, s, _ in rows)
     outside = lambda at: sum(8 - max(Counter(at[i] for i, _, h in rows if h == g).values()) for g in range(20))
-    assert outside(got) < 0.2 * outside({i: s for i, s, _ in rows})
+    assert outside(got) < 0.25 * outside({i: s for i, s, _ in rows})
 
 
 def test_propagation_over_edges(spark):

@@ -157,6 +157,6 @@ def test_deduplicate_whole_table(documents, document_rows):
         assert max(score(a, b) for b in texts if b != a) >= 0.65
 
 
-@pytest.mark.parametrize("similarity_, words, radius", [(1.0, 8, 0), (0.8, 8, 94)])
+@pytest.mark.parametrize("similarity_, words, radius", [(1.0, 8, 0), (0.8, 8, 94), (0.8, 16, 179)])
 def test_radius(similarity_, words, radius):
     assert simhash.radius_for(similarity_, words) == radius
