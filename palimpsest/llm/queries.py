@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat
+from palimpsest.llm import chat, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,8 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from palimpsest.llm import warc
-
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
@@ -81,4 +79,4 @@ QUERIES = {
         op9_neighbours, op10_surrogates)
 }
 #: The others hash, learn or iterate beyond what DuckDB has; tests/llm holds them against brute force.
-ORACLES: dict[str, str] = {"op6_perspectives": chat.ORACLE}
+ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE, "op6_perspectives": chat.ORACLE}

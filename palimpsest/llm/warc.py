@@ -376,4 +376,16 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return resolved(found, write_index(ws, found))
 
 
-__all__ = ["CaptureIndex", "Record", "captures", "look_up", "read_archive", "record", "resolved", "round_trip", "surt", "write_archives", "write_index"]
+#: `round_trip` of pages with ids, in DuckDB; base32 takes five bits at a time from two hexadecimal digits.
+ORACLE = """
+WITH paid AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+marked AS (SELECT page_id, payload, min(page_id) OVER (PARTITION BY payload) AS first FROM paid),
+hashed AS (SELECT *, upper(sha1(payload)) || '0' AS hx FROM marked)
+SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    ((strpos('0123456789ABCDEF', substr(hx, i * 5 // 4 + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(hx, i * 5 // 4 + 2, 1)) - 1) // [8, 4, 2, 1][i * 5 % 4 + 1] % 32 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM hashed
+"""
+
+__all__ = ["ORACLE", "CaptureIndex", "Record", "captures", "look_up", "read_archive", "record", "resolved", "round_trip", "surt", "write_archives", "write_index"]

@@ -51,6 +51,16 @@ def test_query(spark, sf_dir):
     assert got(df) == brute(rows)
 
 
+def test_like_sql(sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
+    got = con.execute(warc.ORACLE).fetchall()
+    rows = con.execute("SELECT page_id, url, html FROM pages").fetchall()
+    assert sorted(got, key=str) == brute(rows)
+
+
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
