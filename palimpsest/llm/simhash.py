@@ -25,9 +25,12 @@ from palimpsest.llm.common import Workspace, connected_components, skew_join, so
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
-#: Tiles at most. Each fingerprint is sent once for each partner tile, so the number of tiles grows as the cube root
-#: of the number of fingerprints only: tiles grow too, and a task still holds no more than two.
+#: Tiles at least and at most. Each fingerprint is sent once for each partner tile, so there are only as many as give
+#: work to many tasks: from some 400,000 fingerprints on they grow as the cube root of their number, and tiles grow too.
+LEAST_TILES = 12
 MAX_TILES = 512
+#: 64-bit words in a tile, beyond which there are more tiles (up to MAX_TILES); a task holds two tiles.
+TILE_WORDS = 1 << 24
 #: Rows and columns of one numpy comparison.
 BLOCK = 1024
 _MASK16 = np.uint64(0xFFFF)
@@ -171,7 +174,7 @@ def links(ws: Workspace, distinct: DataFrame, name: str, radius: int = RADIUS, w
     order = [F.col(c) for c in ("q0", "q1", "q2", "q3", "fp")]
     placed = sorted_positions(ws, ordered, order, f"{name}-sorted", "at")
     n = distinct.count()
-    tiles = min(MAX_TILES, tiles or max(4, round(n ** (1 / 3) / 3)))
+    tiles = min(MAX_TILES, tiles or max(LEAST_TILES, round(n ** (1 / 3) / 6), -(-n * words // TILE_WORDS)))
     rows = max(1, -(-n // tiles))
     tiled = placed.withColumn("tile", F.floor(F.col("at") / rows).cast("int"))
     # One row for each tile, MAX_TILES at most.
