@@ -14,8 +14,6 @@ from palimpsest.streaming import commands
 
 CONFIG = MatchConfig()
 IDEAL = MatchConfig(strict=False)
-#: All-pairs association leaves out windows of more documents than this, as a full posting line once did.
-LINE = MatchConfig(max_df=1000)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -276,7 +274,7 @@ def copy_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def associate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all, between classes of copies (see copy_classes); brute force in the tests."""
     docs = associate.representatives(corpus(spark, sf_dir))
-    return associate.summary(associate.associate(docs, docs, LINE))
+    return associate.summary(associate.associate(docs, docs, CONFIG))
 
 
 _LOG = ("log AS (SELECT event_id + 1 AS queue_id, CASE WHEN event_id % 7 = 0 THEN 'drop' WHEN event_id % 7 IN (1, 2) THEN 'associate' ELSE 'add' END AS action,"
