@@ -50,7 +50,7 @@ PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
 #: Stands around entities while a text is split; texts that hold it themselves are split in another way.
 MARK = "\uFDD0"
 #: No text without one of these has an entity; it spares most texts the pattern.
-HINT = r"\d{3}|\d\.\d|@|AKIA|ASIA|[Pp]assw|[Ss]ecret|token|api_key|" + _TITLED + r" \p{Lu}"
+HINT = r"\d{3}|\d\.\d|\+\d|[A-Z]{2}\d{2}|@|AKIA|ASIA|[Pp]assw|[Ss]ecret|token|[Aa]pi_key|" + _TITLED + r" \p{Lu}"
 
 
 def kind(entity: Column, female: Column) -> Column:
