@@ -25,6 +25,8 @@ from palimpsest.llm.common import Workspace, connected_components, skew_join, so
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
+#: Shingles of a text that are hashed and counted at once.
+STEP = 1 << 14
 #: Tiles at least and at most. Each fingerprint is sent once for each partner tile, so there are only as many as give
 #: work to many tasks: from some 400,000 fingerprints on they grow as the cube root of their number, and tiles grow too.
 LEAST_TILES = 12
@@ -36,29 +38,41 @@ BLOCK = 1024
 _MASK16 = np.uint64(0xFFFF)
 
 
-def sketch(text: str | None, size: int = SHINGLE, words: int = 1) -> np.ndarray:
+def _hashes(tokens: list[bytes], size: int) -> Iterator[np.ndarray]:
+    """XXH64 of the `size`-word shingles with repeats, in slices, so memory is bounded."""
+    digest = xxhash.xxh64_intdigest
+    n = max(1, len(tokens) - size + 1)
+    for at in range(0, n, STEP):
+        part = tokens[at : at + STEP + size - 1]
+        m = max(1, len(part) - size + 1)
+        shingles = map(b" ".join, zip(*(part[k : k + m] for k in range(size)), strict=True)) if len(part) >= size else [b" ".join(part)]
+        yield np.fromiter((digest(x, SEED) for x in shingles), np.uint64, m)
+
+
+def sketch(text: str | None, size: int = SHINGLE, words: int = 1, distinct: bool = False) -> np.ndarray:
     """SimHash of one text in `words` 64-bit words: A-Z lower-cased, words split at ASCII white space, `size`-word
-    shingles with repeats, XXH64 with seed 42, and a bit set where it is set in over half of the hashes. No words: 0.
+    shingles with repeats (or each once, if `distinct`), XXH64 with seed 42, and a bit set where it is set in over
+    half of the hashes. No words: 0.
 
     The first 64 bits come from the hashes themselves, further ones from hashes mixed with the word's number."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
         return np.zeros(words, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    n = max(1, len(tokens) - size + 1)
+    slices = _hashes(tokens, size)
+    if distinct:
+        once = np.unique(np.concatenate(list(slices)))
+        slices = (once[at : at + STEP] for at in range(0, len(once), STEP))
+    n = 0
     total = np.zeros(64 * words, np.int64)
-    step = 1 << 14  # long texts in slices, so memory is bounded
-    for at in range(0, n, step):
-        part = tokens[at : at + step + size - 1]
-        m = max(1, len(part) - size + 1)
-        shingles = map(b" ".join, zip(*(part[k : k + m] for k in range(size)), strict=True)) if len(part) >= size else [b" ".join(part)]
-        hashes = np.fromiter((digest(x, SEED) for x in shingles), np.uint64, m)
+    for hashes in slices:
+        m = len(hashes)
         columns = np.empty((m, words), np.uint64)
         columns[:, 0] = hashes
         for k in range(1, words):
             columns[:, k] = _mixed(hashes, k)
         bits = np.unpackbits(columns.astype("<u8", copy=False).view(np.uint8).reshape(m, 8 * words), axis=1, bitorder="little")
         total += np.add.reduce(bits, axis=0, dtype=np.uint32)
+        n += m
     return np.packbits(2 * total > n, bitorder="little").view("<u8").astype(np.uint64)
 
 
@@ -75,7 +89,7 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(sketch(text, size)[0])
 
 
-def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", size: int = SHINGLE, words: int = 1) -> DataFrame:
+def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", size: int = SHINGLE, words: int = 1, distinct: bool = False) -> DataFrame:
     """`df` without its text, plus the fingerprint in binary, big-endian words, the first word first."""
     keep = [c for c in df.columns if c != text]
     schema = df.select(*keep).withColumn(out, F.lit(b"")).schema
@@ -84,7 +98,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", size: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(b.schema.get_field_index(text))
-            got = [sketch(t.as_py(), size, words).astype(">u8").tobytes() for t in texts]
+            got = [sketch(t.as_py(), size, words, distinct).astype(">u8").tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(got, pa.binary())], names=names)
 
     return df.mapInArrow(run, schema)
@@ -243,7 +257,7 @@ def radius_for(similarity: float, words: int, slack: float = 2.0) -> int:
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, size: int = 5, words: int = 16) -> DataFrame:
     """The rows of `df` without near-duplicates: of each component the row with the smallest key stays.
 
-    Texts link when SimHashes of their `size`-word shingles, `words` 64-bit words wide, are within the distance that
+    Texts link when SimHashes of their distinct `size`-word shingles, `words` 64-bit words wide, are within the distance that
     shingle sets of the given Jaccard similarity have: nearly every pair at or above it links, and pairs far below
     never do. Rows with a null key stay as they are, having no name to be compared by; of rows that repeat the kept
     key, one stays. Texts without words count as copies of each other.
@@ -254,7 +268,7 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", similari
     # Written once with its row numbers, so they stay the same however often tasks run.
     base = ws.table(df.withColumn(rid, F.monotonically_increasing_id()), "rows")
     pick = base.select(F.col(rid).alias("r"), F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter(F.col("k").isNotNull())
-    prints = ws.table(fingerprints(pick, "t", size=size, words=words), "prints")
+    prints = ws.table(fingerprints(pick, "t", size=size, words=words, distinct=True), "prints")
     found = components(ws, prints, "k", radius_for(similarity, words), words)
     best = skew_join(prints, found, ["fp"], "inner").groupBy("component").agg(F.min_by("r", F.struct("k", "r")).alias(rid))
     kept = base.join(best.select(rid), rid, "left_semi")

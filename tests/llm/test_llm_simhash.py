@@ -160,3 +160,23 @@ def test_deduplicate_whole_table(documents, document_rows):
 @pytest.mark.parametrize("similarity_, words, radius", [(1.0, 8, 0), (0.8, 8, 94), (0.8, 16, 179)])
 def test_radius(similarity_, words, radius):
     assert simhash.radius_for(similarity_, words) == radius
+
+
+def test_deduplicate_counts_repeated_lines_once(spark):
+    """Near copies of which one repeats a sentence have nearly the same shingle sets."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for g in range(20):
+        words = [f"word{i}" for i in rng.integers(0, 100_000, 200)]
+        line = [f"line{i}" for i in rng.integers(0, 100_000, 10)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words + line * 6))]
+    assert all(similarity(rows[i][1], rows[i + 1][1]) >= 0.9 for i in range(0, len(rows), 2))
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, len(rows), 2))
+
+
+def test_distinct_sketch_of_a_long_text():
+    words = [f"w{i}" for i in range(40_000)]
+    once, thrice = " ".join(words), " ".join(words * 3)
+    a, b = simhash.sketch(once, 5, 4, True), simhash.sketch(thrice, 5, 4, True)
+    assert (simhash.sketch(once, 5, 4) == a).all() and int(np.bitwise_count(a ^ b).sum()) <= 4
