@@ -35,6 +35,8 @@ MAX_TILES = 512
 TILE_WORDS = 1 << 24
 #: Rows and columns of one numpy comparison.
 BLOCK = 1024
+#: Rows of such a comparison whose counts are held at once.
+STRIP = 128
 _MASK16 = np.uint64(0xFFFF)
 
 
@@ -121,20 +123,30 @@ def _gap(low_a, high_a, low_b, high_b) -> int:
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of rows of a and b within the radius, by exclusive-or and bit counts of one word after another.
 
-    The first word alone bounds the distance from below, so pairs beyond the radius in it are left at once. For
-    more words than one, a pair is also left when its first word differs in so many bits as a pair at the radius
-    does once in a few thousand times."""
+    The words so far bound the distance from below, so a pair is left as soon as they differ in more than the radius,
+    and no sooner. Unrelated rows differ in 32 bits of a word or so; the words that nearly all of them need to get
+    beyond the radius are counted for whole strips, the others only for the pairs that are still there."""
     words = a.shape[1]
-    share = radius / (64 * words)
-    first = radius if words == 1 else min(radius, int(64 * share + 3.5 * (64 * share * (1 - share)) ** 0.5) + 1)
-    u, v = np.nonzero(np.bitwise_count(a[:, 0][:, None] ^ b[:, 0][None, :]) <= first)
-    if words > 1 and len(u):
-        rest = np.bitwise_count(a[u, 0] ^ b[v, 0]).astype(np.int64)
-        for k in range(1, words):
+    if words == 1:
+        return np.nonzero(np.bitwise_count(a[:, 0][:, None] ^ b[:, 0][None, :]) <= radius)
+    whole = min(words, radius // 32 + 2)
+    columns = np.ascontiguousarray(b[:, :whole].T)
+    found = []
+    for at in range(0, len(a), STRIP):
+        strip = a[at : at + STRIP]
+        bits = np.zeros((len(strip), len(b)), np.uint16)
+        for k in range(whole):
+            bits += np.bitwise_count(strip[:, k][:, None] ^ columns[k][None, :])
+        u, v = np.nonzero(bits <= radius)
+        rest = bits[u, v].astype(np.int64)
+        u = u + at
+        for k in range(whole, words):
             rest += np.bitwise_count(a[u, k] ^ b[v, k])
             keep = rest <= radius
             u, v, rest = u[keep], v[keep], rest[keep]
-    return u, v
+        found.append((u, v))
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *(u for u, _ in found)]), np.concatenate([empty, *(v for _, v in found)])
 
 
 def forest(values: np.ndarray, split: int | None, radius: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:

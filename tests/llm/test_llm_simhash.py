@@ -180,3 +180,22 @@ def test_distinct_sketch_of_a_long_text():
     once, thrice = " ".join(words), " ".join(words * 3)
     a, b = simhash.sketch(once, 5, 4, True), simhash.sketch(thrice, 5, 4, True)
     assert (simhash.sketch(once, 5, 4) == a).all() and int(np.bitwise_count(a ^ b).sum()) <= 4
+
+
+def test_near_counts_all_words():
+    """Bits that differ may stand in any words, all of a word's too."""
+    rng = np.random.default_rng(4)
+    radius, words = 179, 16
+    a = rng.integers(0, 1 << 64, (300, words), dtype=np.uint64)
+    b = rng.integers(0, 1 << 64, (200, words), dtype=np.uint64)
+    for i in range(200):  # 100 pairs at the radius and 100 a bit beyond
+        heads = 64 if i % 4 < 2 else int(rng.integers(0, 40))
+        bits = [*range(heads), *(64 + rng.choice(960, radius + i % 2 - heads, replace=False)).tolist()]
+        b[i] = a[i]
+        for bit in bits:
+            b[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    want = [(i, i) for i in range(0, 200, 2)]
+    u, v = simhash._near(a, b, radius)
+    assert sorted(zip(u.tolist(), v.tolist(), strict=True)) == want
+    child, root = simhash.forest(np.concatenate([a, b]), 300, radius)
+    assert list(zip(root.tolist(), (child - 300).tolist(), strict=True)) == want
