@@ -2,9 +2,10 @@
 
 Documents become token ids, each followed by an end id; only those longer than a sequence are cut. The histogram of
 piece lengths, at most one row per length, decides everything: patterns of a few coarse lengths that fill a sequence
-are enumerated, non-negative least squares fits how often each is used, the counts are rounded down and filled with
-real lengths, the last of each by best fit, and what is left over is packed by best fit into open and new
-sequences. Pieces then find their places by their rank among the pieces of the same length.
+are enumerated, non-negative least squares fits how often each is used, and the counts are rounded down and filled
+with real lengths that leave next to nothing free. What no pattern took is fitted again with more slack. The shortest
+pieces take no part in this: with whatever else is left they are packed by best fit into open and new sequences.
+Pieces then find their places by their rank among the pieces of the same length.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from array import array
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,15 @@ END_ID = 0
 #: Coarse lengths in a full sequence, and documents in a pattern.
 GRAINS = 64
 PATTERN_DOCS = 4
-#: Chunks of text whose ids a worker remembers.
-CACHE = 600_000
+#: Ids left free at most in a sequence that a pattern fills, in each fit after the other.
+SLACKS = (0, 8, 32)
+#: Pieces of this share of a sequence and shorter ones are kept from the patterns, to fill gaps.
+FILLERS = 3 / 64
+#: Pieces of one length that are ranked together, at most; and parts that the rarest split makes.
+PART_ROWS = 200_000
+LEAST_PARTS = 1024
+#: Bytes of chunks and ids that a worker remembers, about; it forgets all of them when there are more.
+CACHE_BYTES = 48 << 20
 _ODD = re.compile("[\x1c-\x1f]")
 _BEYOND = re.compile("[^\x00-ɏ]")
 #: Chunks of these characters alone are normalised by lower-casing, and Python's classes tell their letters and digits.
@@ -60,11 +69,14 @@ class ChunkTokenizer:
         split = [p.get("pattern", {}).get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.plain = self.chunked and kinds == ["NFC", "Replace", "Lowercase"] and split == [_SPLIT, None]
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        #: How all special tokens begin. They are sought in the text as it stands, before it is normalised.
+        self.mark = commonprefix(self.special)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         self.table = {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.cache: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
         self.tokenize = self.tokenizer.model.tokenize
 
     def _whole(self, text: str) -> bytes:
@@ -80,24 +92,29 @@ class ChunkTokenizer:
                 if got is None:
                     mapped = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.table)
                     got = array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
-                    if len(words) > CACHE:
-                        words.clear()
-                    words[word] = got
+                    if len(word) <= 64:
+                        self._remember(words, word, got)
                 out.append(got)
             ids = out[0] if len(out) == 1 else b"".join(out)
         else:
             ids = self._whole(chunk)
-        if len(self.cache) > CACHE:
-            self.cache.clear()
         if len(chunk) <= 64:
-            self.cache[chunk] = ids
+            self._remember(self.cache, chunk, ids)
         return ids
 
+    def _remember(self, where: dict[str, bytes], text: str, ids: bytes) -> None:
+        self.held += sys.getsizeof(text) + sys.getsizeof(ids) + 100  # and a dictionary's own for each entry
+        if self.held > CACHE_BYTES:
+            self.cache.clear()
+            self.words.clear()
+            self.held = 0
+        where[text] = ids
+
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
         if not self.chunked or _ODD.search(text):
             return self._whole(text)
-        if self.lower and not _BEYOND.search(text):
+        if self.lower and not (self.special and self.mark in text) and not _BEYOND.search(text):
             text = text.lower()
         chunks = text.split()
         ids = list(map(self.cache.get, chunks))
@@ -246,54 +263,75 @@ class _Plan:
         return sorted((g for gs in self.open.values() for g in gs), key=lambda g: (tuple(-n for n in g[0]), g[1]))
 
 
-def plan(counts: np.ndarray, size: int = SEQUENCE, grains: int = GRAINS, docs: int = PATTERN_DOCS) -> list[tuple[tuple[int, ...], int]]:
+def _filled(left: np.ndarray, shape: tuple[int, ...], members: list[list[int]], size: int, slack: int) -> tuple[int, ...] | None:
+    """Lengths that there are, of the grains in `shape`, that leave `slack` free at most and as little as can be: the
+    longest of each grain, but the last but one is tried with every partner for the last, of any grain."""
+    head: list[int] = []
+    used: dict[int, int] = defaultdict(int)
+
+    def there(n: int) -> bool:
+        return bool(left[n] > used[n])
+
+    for g in shape[:-2]:
+        n = next((n for n in members[g] if there(n)), 0)
+        if not n:
+            return None
+        head.append(n)
+        used[n] += 1
+    best: tuple[int, ...] | None = None
+    least = slack + 1
+    for n in members[shape[-2]] if len(shape) > 1 else [0]:
+        free = size - sum(head) - n
+        if free < 0 or n and not there(n):
+            continue
+        used[n] += bool(n)
+        for last in range(free, max(0, free - least), -1):
+            if there(last):
+                best, least = (*head, *[n] * bool(n), last), free - last
+                break
+        used[n] -= bool(n)
+        if not least:
+            break
+    return best
+
+
+def plan(counts: np.ndarray, size: int = SEQUENCE, grains: int = GRAINS, docs: int = PATTERN_DOCS, report: dict | None = None) -> list[tuple[tuple[int, ...], int]]:
     """Groups (lengths, times) that together use each length counts[length] times; counts[0] is ignored.
 
-    Where packing everything by best fit takes fewer sequences than the patterns do, that is the result.
-    """
+    `report`, if given, gets the number of pieces and those that patterns placed, and the number of sequences and the
+    least that there can be."""
     grain = -(-size // grains)
-    coarse = np.zeros(grains + 1)
-    for n in np.flatnonzero(counts[1:]) + 1:
-        coarse[-(-n // grain)] += counts[n]
+    lengths = np.arange(size + 1)
+    of = np.clip((lengths + grain // 2) // grain, 1, grains)
+    members = [[int(n) for n in lengths[:0:-1] if of[n] == g] for g in range(grains + 1)]
     shapes = patterns(grains, docs)
     a = np.zeros((grains, len(shapes)))
     for j, shape in enumerate(shapes):
         for g in shape:
             a[g - 1, j] += 1
-    scale = max(coarse.sum(), 1.0)
-    times = np.floor(nnls(a, coarse[1:] / scale) * scale + 1e-6).astype(np.int64)
-    fitted = _Plan(counts, size)
-    for j in sorted(np.flatnonzero(times), key=lambda j: shapes[j], reverse=True):
-        shape, want = shapes[j], int(times[j])
-        while want > 0:
-            chosen: list[int] = []
-            used: dict[int, int] = defaultdict(int)
-
-            def largest(low: int, high: int, used=used) -> int:
-                high = min(high, size)
-                for n in (np.flatnonzero(fitted.left[low : high + 1]) + low)[::-1].tolist():
-                    if fitted.left[n] > used[n]:
-                        return n
-                return 0
-
-            for i, g in enumerate(shape):
-                free = size - sum(chosen)
-                # The last of a pattern fills what is free as well as any length does.
-                n = largest((g - 1) * grain + 1, min(g * grain, free)) if i < len(shape) - 1 or len(shape) == 1 else largest(max(1, (g - 1) * grain + 1), free)
-                if n:
-                    chosen.append(n)
-                    used[n] += 1
-            if len(chosen) < len(shape):
-                break
-            done = fitted.take(tuple(chosen), want)
-            want -= done
-            if not done:
-                break
-    fitted.best_fit()
-    plain = _Plan(counts, size)
-    plain.best_fit()
-    total = lambda p: sum(t for _, t in p.groups())
-    return min((fitted, plain), key=total).groups()
+    packed = _Plan(counts, size)
+    packed.left[0] = 0
+    fillers = packed.left.copy()
+    fillers[int(size * FILLERS) + 1 :] = 0
+    packed.left -= fillers
+    total, placed = int(packed.left.sum() + fillers.sum()), 0
+    for slack in SLACKS:
+        coarse = np.bincount(of, weights=packed.left, minlength=grains + 1)
+        scale = max(coarse.sum(), 1.0)
+        times = np.floor(nnls(a, coarse[1:] / scale) * scale + 1e-6).astype(np.int64)
+        for j in sorted(np.flatnonzero(times), key=lambda j: shapes[j], reverse=True):
+            want = int(times[j])
+            while want > 0 and (chosen := _filled(packed.left, shapes[j], members, size, slack)):
+                done = packed.take(chosen, want)
+                want -= done
+                placed += done * len(chosen)
+    packed.left += fillers
+    packed.best_fit()
+    groups = packed.groups()
+    if report is not None:
+        least = -(-int((counts[1:] * lengths[1:]).sum()) // size)
+        report.update(pieces=total, by_patterns=placed, sequences=sum(t for _, t in groups), least=least)
+    return groups
 
 
 def _places(groups: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[list[int], list[int], list[int]]]:
@@ -330,8 +368,10 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", size
     at = unique_name(found, "rank")
     # Rows that are alike in all of these are interchangeable, so any order among them gives the same result.
     order = [F.col(c) for c in (key, "piece", "ids_crc32")]
-    # Rows of a salt stay few enough to sort, however many there are of one length.
-    salts = int(min(1024, max(64, counts.max(initial=0) // 200_000)))
+    # Only lengths of many pieces are split. All parts together number size + LEAST_PARTS, or size + pieces / PART_ROWS
+    # where that is more, and none grows beyond PART_ROWS.
+    rows = int(min(PART_ROWS, max(16, counts.sum() // LEAST_PARTS)))
+    salts = F.element_at(F.lit([max(1, -(-int(c) // rows)) for c in counts]), F.col("length").cast("int") + 1)
     numbered = ranked(found, ["length"], order, at, salts)
     result = numbered.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).drop(at)
     schema, names = result.schema, result.columns

@@ -118,3 +118,33 @@ def test_lone_lengths():
         groups = packing.plan(counts)
         assert sum(t * len(s) for s, t in groups) == len(lengths)
     assert packing.plan(np.bincount([683, 683, 682], minlength=2049)) == [((683, 683, 682), 1)]
+
+
+@pytest.mark.parametrize("text", ["a <|ENDOFTEXT|> b", "A<|endoftext|>B", "<|EndOfText|>", "x<|startoftext|>Y", "<|STARTOFTEXT|> \u0130", "< |endoftext|>", "<|Endoftext|><|endoftext|>C"])
+def test_special_tokens_are_sought_before_normalising(text, library):
+    want = library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.loaded(PATH).encode(text), "<u4").tolist() == want
+
+
+def test_patterns_place_most_pieces():
+    rng = np.random.default_rng(4)
+    counts = np.bincount(np.minimum(2048, rng.lognormal(6, 1, 20_000).astype(int) + 1), minlength=2049)
+    report = {}
+    groups = packing.plan(counts, report=report)
+    assert report["pieces"] == counts.sum() and report["by_patterns"] > 0.8 * report["pieces"]
+    assert report["sequences"] == sum(t for _, t in groups) <= report["least"] * 1.001 + 1
+
+
+def test_memory_of_chunks_is_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 20_000)
+    tokens = packing.ChunkTokenizer(PATH)
+    text = " ".join(f"w{i}x{i % 7}" for i in range(3000))
+    want = tokens.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(tokens.encode(text), "<u4").tolist() == want
+    assert tokens.held <= 20_000 and len(tokens.cache) < 200
+
+
+def test_a_hot_length_is_split(spark, library):
+    rows = [(i, "the same words") for i in range(3000)] + [(i, f"another {i} text") for i in range(3000, 3400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held(packing.pack(df, PATH).collect(), rows, library)
