@@ -10,6 +10,7 @@ from palimpsest.llm import pii
 from palimpsest.llm.common import Workspace
 
 PATTERN = regex.compile(pii.PATTERN)
+KEY = "a key of these tests"
 
 ROWS = [
     (1, "Mail Anna.Smith@example.com or anna.smith@EXAMPLE.com; card 4111 1111 1111 1111; call +44 20 7946 0958."),
@@ -73,7 +74,7 @@ def checked(rows):
 
 def test_fixture(spark, crowd):
     df = crowd(spark.createDataFrame(ROWS, "doc_id long, text string"))
-    got = pii.replace(df)
+    got = pii.replace(df, KEY)
     assert got.columns[:-1] == [c for c in df.columns if c != "n_entities"] and got.columns[-1] == "n_entities"
     rows = got.collect()
     assert len(rows) == len(ROWS)
@@ -118,32 +119,32 @@ def test_collisions_are_resolved(spark):
     rows += ips + names
     ws = Workspace(spark, "pii-test")
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in pii.replace(df).select("doc_id", "text").distinct().collect()}
+    got = {r["doc_id"]: r["text"] for r in pii.replace(df, KEY).select("doc_id", "text").distinct().collect()}
     surrogates = [got[k].removeprefix("Mr. ") for k, _ in names]
     assert len(set(surrogates)) == len(names)
     assert len({got[k] for k, _ in ips}) == len(ips)
     entities = pii.entity_table(pii.with_entities(df))
-    again = pii.retries(ws, ws.table(entities, "entities"))
+    again = pii.retries(ws, ws.table(entities, "entities"), KEY)
     assert again.filter("attempt < 1").count() == 0
 
 
 def test_key_decides(spark):
     df = spark.createDataFrame([(1, "x.long.name@y.org")], "doc_id long, text string")
-    a, b, c = (pii.replace(df, key=k).first()["text"] for k in ("one", "two", "one"))
+    a, b, c = (pii.replace(df, k).first()["text"] for k in ("one", "two", "one"))
     assert a == c != b
 
 
 def test_empty(no_documents):
-    assert pii.replace(no_documents).count() == 0
+    assert pii.replace(no_documents, KEY).count() == 0
 
 
 def test_edges(edge, edge_rows):
-    got = pii.replace(edge)
+    got = pii.replace(edge, KEY)
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect()) == sorted((str(k), str(t)) for k, t in edge_rows)
 
 
 def test_no_python_on_the_main_path(documents):
-    plan = pii.replace(documents)._jdf.queryExecution().executedPlan().toString()
+    plan = pii.replace(documents, KEY)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
@@ -151,13 +152,13 @@ def test_no_python_on_the_main_path(documents):
     ("a@b.co", ["a@b.co"]), ("no.at.all", []), ("1.2.3.4.5", []), ("300.1.1.1", []), ("1234567890123456", ["1234567890123456"]), ("Mr. Smith's", ["Smith's"]), ("Ms Lee", ["Lee"])])
 def test_spans(spark, text, want):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    assert pii.with_entities(df).first()["__e"] == want == split_by(text)[1]
+    assert pii.with_entities(df).first()["e"] == want == split_by(text)[1]
 
 
 def test_a_text_with_the_mark(spark):
     text = f"{pii.MARK}a@b.co{pii.MARK} and {pii.MARK}{pii.MARK}10.0.0.1 end"
     df = spark.createDataFrame([(1, text), (2, "a@b.co")], "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in pii.replace(df).collect()}
+    got = {r["doc_id"]: r["text"] for r in pii.replace(df, KEY).collect()}
     pairs = aligned(text, got[1])
     assert [e for e, _ in pairs] == ["a@b.co", "10.0.0.1"] and pairs[0][1] == got[2]
 
@@ -172,7 +173,7 @@ ALONE = {
     "phone": ["+49 30 12 34 56", "+44 20 79 46 09 58", "+1(20)12-34", "(212) 555-0187", "212-555-0187", "212.555.0187"],
     "ssn": ["123-45-6789"],
     "card": ["4111 1111 1111 1", "4111-1111-1111-1111", "4111111111111111"],
-    "name": [f"{t} {n}" for t, n in zip(pii._TITLES_F + pii._TITLES_M, ["Lee", "Öz", "Иванов"] * 9)],
+    "name": [f"{t} {n}" for t, n in zip(pii._TITLES_F + pii._TITLES_M + pii._TITLES_N, ["Lee", "Öz", "Иванов"] * 9)],
 }
 
 
@@ -183,8 +184,74 @@ def test_each_kind_alone_is_found(spark):
         assert all(regex.search(pattern, t) for t in ALONE[kind])
     texts = [t for some in ALONE.values() for t in some]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["__e"] for r in pii.with_entities(df).collect()}
+    got = {r["row"]["doc_id"]: r["e"] for r in pii.with_entities(df).collect()}
     want = {i: split_by(t)[1] for i, t in enumerate(texts)}
     assert all(want.values()) and [(texts[i], got[i]) for i in want if got[i] != want[i]] == []
-    new = {r["doc_id"]: r["text"] for r in pii.replace(df).collect()}
+    new = {r["doc_id"]: r["text"] for r in pii.replace(df, KEY).collect()}
     assert [t for i, t in enumerate(texts) if new[i] == t] == []
+
+
+def replaced(spark, *texts, key=KEY):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.replace(df, key).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_short_formats_never_run_out(spark):
+    """Letters a to f alone, more names than there are in the format, and a secret that no exchange of letters changes."""
+    mails = [f"{c}@{n}.com" for n in ("one", "two", "three", "four", "five", "six", "seven") for c in "abcdef"]
+    names = [f"Mr. {a}{b}" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in ("al", "be", "co", "du", "ek", "fi", "go", "ha", "iv", "jo", "ku", "le")]
+    odd = ["password=******** x", "password=------- x", "+1 23 45 67", "Mr. \u03a9\u03c9"]
+    got = replaced(spark, *mails, *names, *odd)
+    assert len(set(got[: len(mails)])) == len(mails) and not set(got) & set(mails + names + odd)
+    assert len(set(got[len(mails) : len(mails) + len(names)])) == len(names)
+    assert all(re.fullmatch(r"[a-z]+@example\.org", x) for x in got[: len(mails)])
+    assert got[-4].startswith("password=") and got[-4].endswith(" x") and got[-4] != odd[0]
+
+
+def test_numbers_of_short_groups_are_found(spark):
+    assert replaced(spark, "call +32 47 12 34 56 now")[0] != "call +32 47 12 34 56 now"
+
+
+def test_scripts_stay(spark):
+    greek, armenian, cyrillic, latin = replaced(spark, "Mr. Παπαδόπουλος", "Mr. Հակոբյան", "господин Пётр Журавлёв", "Mrs. Åsa Öberg")
+    for text, script in ((greek, "Greek"), (armenian, "Armenian"), (cyrillic.removeprefix("господин "), "Cyrillic"), (latin, "Latin")):
+        assert regex.fullmatch(rf"[\p{{{script}}} ]+", text.removeprefix("Mr. ").removeprefix("Mrs. ")), text
+    assert greek != "Mr. Παπαδόπουλος"
+
+
+def test_family_names_are_shared(spark):
+    one, two, other = replaced(spark, "Mr. John Smith met Mr. Smith; Smith left with Dr. Ann Smith. A blacksmith, Smithson and SMITH stay.", "Mrs. Smith", "Smith alone stays.")
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) met Mr\. (\w+); (\w+) left with Dr\. (\w+) (\w+)\. A blacksmith, Smithson and SMITH stay\.", one)
+    assert m and m[2] == m[3] == m[4] == m[6] != "Smith" and m[1] in pii._LATIN_M and m[5] in pii._LATIN_N
+    assert two == f"Mrs. {m[2]}" and other == "Smith alone stays."
+
+
+def test_account_numbers_keep_valid_check_digits(spark):
+    new = replaced(spark, "to DE89370400440532013000 please", "GB29NWBK60161331926819")
+    for text in new:
+        iban = re.search(r"[A-Z]{2}\d\d[A-Z0-9]+", text)[0]
+        assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1, iban
+
+
+def test_a_key_is_demanded(spark):
+    df = spark.createDataFrame([(1, "x@y.org")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        pii.replace(df, "")
+
+
+def test_stream_is_an_hmac(spark):
+    import hashlib
+    import hmac
+
+    from pyspark.sql import functions as F
+
+    for key in ("short", "long " * 60):
+        got = spark.range(1).select(pii._stream(F.lit("email"), F.lit("a@b.co"), F.lit(2), key)).first()[0]
+        assert got == hmac.new(key.encode() if len(key) < 129 else hashlib.sha512(key.encode()).digest(), b"email|2|a@b.co", hashlib.sha512).hexdigest()
+
+
+def test_clashing_columns_pass_through(spark):
+    df = spark.createDataFrame([(1, "a@b.co", "p", "e", "n")], "doc_id long, text string, p string, e string, row string")
+    r = pii.replace(df, KEY).first()
+    assert (r["p"], r["e"], r["row"]) == ("p", "e", "n") and r["n_entities"] == 1
