@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by a permutation index.
 
 Every vector is represented by its nearest pivots in order. Blocks of vectors post them in inverted files, one list
-for each pivot, with the pivot's place in the vector's order. A query adds up, over the lists of its own nearest
-pivots, by how much each place differs from its own: the footrule distance of the two orders, a pivot missing from
-one counting as beyond its end. In every block the vectors nearest by footrule are ranked again by the exact inner
-product.
-
-Queries meet every block, so work grows with queries x vectors, the footrule part at PREFIX / PIVOTS of it; nothing
-larger than a block of vectors and a block of queries is in memory. Identical vectors are one class, searched once.
+for each pivot, with the pivot's place in the vector's order. A query reads the lists of its own nearest pivots alone
+and adds up how much each place differs from its own: the footrule distance of the two orders, a pivot missing from
+one counting as beyond its end. Orders tell angles and not lengths, while the inner product grows with the length, so
+vectors are ranked by what their order shares with the query's times their length. In every block the best are ranked
+again by the exact inner product.
+
+Queries meet every block, so work grows with queries x vectors: a query reads PREFIX / pivots of a block's postings
+and SHARE of its vectors. Nothing larger than a block of vectors and a block of queries is in memory. Identical
+vectors are one class, searched once.
 """
 
 from __future__ import annotations
@@ -22,14 +24,17 @@ from pyspark.sql import Window
 
 from palimpsest.llm.common import Workspace, skew_join
 
-PIVOTS = 256
+#: Pivots at least and at most, if there are as many vectors; between them one for every PER_PIVOT vectors.
+LEAST_PIVOTS = 256
+PIVOTS = 1024
+PER_PIVOT = 8
 #: Nearest pivots that represent a vector.
 PREFIX = 64
 #: Share of each block, and least number, that is ranked again exactly.
-SHARE = 0.2
+SHARE = 0.1
 LEAST = 64
 #: Classes of vectors in a block, and queries in one.
-BLOCK = 16_384
+BLOCK = 32_768
 QUERY_BLOCK = 32_768
 #: Blocks at least, so that small tables spread over tasks too.
 LEAST_BLOCKS = 12
@@ -39,36 +44,48 @@ NEAREST = 20
 
 def _orders(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """Numbers of each vector's nearest pivots in order, ties to the smaller number."""
-    return np.argsort(-(vectors @ pivots.T), axis=1, kind="stable")[:, :prefix].astype(np.int16)
+    out = np.empty((len(vectors), prefix), np.int16)
+    for at in range(0, len(vectors), 1024):  # all distances to the pivots of so many vectors are in memory
+        out[at : at + 1024] = np.argsort(-(vectors[at : at + 1024] @ pivots.T), axis=1, kind="stable")[:, :prefix]
+    return out
+
+
+class Postings:
+    """The inverted files of a block: for each pivot the vectors that have it among their nearest, and its places."""
 
+    def __init__(self, orders: np.ndarray, pivots: int):
+        self.n, self.prefix = orders.shape
+        flat = orders.ravel()
+        by = np.argsort(flat, kind="stable")
+        bounds = np.searchsorted(flat[by], np.arange(pivots + 1)).tolist()
+        rows, places = (by // self.prefix).astype(np.int32), (by % self.prefix).astype(np.int32)
+        self.rows = [rows[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        self.places = [places[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
-def footrule(posts: list[tuple[np.ndarray, np.ndarray]], order: np.ndarray, n: int) -> np.ndarray:
-    """Footrule distance, up to a constant, of one query's order to those of the n vectors posted.
+    def shared(self, order: np.ndarray) -> np.ndarray:
+        """What each vector's order shares with a query's: the footrule distance of orders without a common pivot less
+        that of these two.
 
-    A pivot in neither order adds nothing. One that only the query has adds prefix - place, one that only the vector
-    has likewise; both are the query's constant and the vector's constant less what the shared pivots save."""
-    prefix = len(order)
-    saved = np.zeros(n, np.int32)
-    for place, pivot in enumerate(order.tolist()):
-        rows, places = posts[pivot]
-        # apart they would add (prefix - place) + (prefix - places); together |place - places|
-        saved[rows] += 2 * (prefix - np.maximum(place, places))
-    return -saved
+        A pivot that one of them alone has adds prefix - place. One that both have would add (prefix - place) twice
+        over and adds the difference of its places instead, so it saves twice prefix less the larger place."""
+        own = order.tolist()
+        rows = [self.rows[p] for p in own]
+        mine = np.repeat(np.arange(len(own), dtype=np.int32), [len(r) for r in rows])
+        saved = 2 * (self.prefix - np.maximum(mine, np.concatenate([self.places[p] for p in own])))
+        return np.bincount(np.concatenate(rows), weights=saved, minlength=self.n)
 
 
 def search_block(vectors: np.ndarray, orders: np.ndarray, queries: np.ndarray, query_orders: np.ndarray, pivots: int, keep: int, share: float = SHARE, least: int = LEAST):
-    """For each query (rows of the block, exact inner products) of its `keep` best among the footrule candidates."""
-    n, prefix = orders.shape
-    flat = orders.ravel()
-    by = np.argsort(flat, kind="stable")
-    bounds = np.searchsorted(flat[by], np.arange(pivots + 1))
-    rows, places = (by // prefix).astype(np.int32), (by % prefix).astype(np.int32)
-    posts = [(rows[a:b], places[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    """For each query (rows of the block, exact inner products) of its `keep` best among the candidates by footrule
+    and length."""
+    n = len(orders)
+    posts = Postings(orders, pivots)
+    lengths = np.linalg.norm(vectors, axis=1)
     wanted = min(n, max(least, int(np.ceil(share * n))))
     for q, order in zip(queries, query_orders, strict=True):
         if wanted < n:
-            distance = footrule(posts, order, n)
-            at = np.argpartition(distance, wanted - 1)[:wanted]
+            near = posts.shared(order) * lengths
+            at = np.sort(np.argpartition(near, n - wanted)[n - wanted :])
         else:
             at = np.arange(n)
         scores = (vectors[at] * q).sum(axis=1)  # one order of additions for every row
@@ -88,12 +105,14 @@ def clean(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = QUERY_EVERY, count: int = NEAREST,
-            pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+            pivots: int | None = None, prefix: int = PREFIX, share: float = SHARE, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, key, score): the `count` nearest rows found for each row whose key is divisible by `every`.
 
     Nearness is the largest inner product in double precision; ties go to the smaller key. A query's own key is no
     candidate. Vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a
-    null key; vectors of each length are searched among themselves; repeated rows (the same key and vector) count once. With fewer candidates than `count`, all are returned; other columns are ignored.
+    null key; vectors of each number of components are searched among themselves; repeated rows (the same
+    key and vector) count once. With fewer candidates than `count`, all are returned; other columns, texts of any
+    length among them, are ignored; an empty table gives none.
     """
     spark = df.sparkSession
     ws = Workspace(spark, "neighbours")
@@ -114,8 +133,9 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", every
     return out.select("query_id", "rank", F.col("k").alias(key), "score")
 
 
-def _nearest_of(ws: Workspace, rows: DataFrame, classes: DataFrame, some: DataFrame, dim: int, every: int, count: int, pivots: int, prefix: int, share: float, block: int, query_block: int) -> DataFrame:
+def _nearest_of(ws: Workspace, rows: DataFrame, classes: DataFrame, some: DataFrame, dim: int, every: int, count: int, pivots: int | None, prefix: int, share: float, block: int, query_block: int) -> DataFrame:
     n = classes.count()
+    pivots = pivots or min(PIVOTS, max(LEAST_PIVOTS, n // PER_PIVOT))
     # A bounded sample of distinct vectors: those with the smallest hashes.
     sample = classes.orderBy(F.xxhash64("c"), "c").limit(pivots).select("v").collect()
     base = np.array([r["v"] for r in sample], float).reshape(len(sample), dim)

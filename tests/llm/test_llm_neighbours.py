@@ -94,8 +94,30 @@ def test_footrule():
         a, b = ({p: i for i, p in enumerate(x.tolist())} for x in (query, o))
         return sum(abs(a.get(p, prefix) - b.get(p, prefix)) for p in range(pivots))
 
-    flat = orders.ravel()
-    posts = [((at := np.flatnonzero(flat == p)) // prefix, at % prefix) for p in range(pivots)]
-    got = neighbours.footrule(posts, query, n)
-    want = np.array([slow(o) for o in orders])
-    assert len(set((got - want).tolist())) == 1
+    got = neighbours.Postings(orders, pivots).shared(query)
+    assert (got == prefix * (prefix + 1) - np.array([slow(o) for o in orders])).all()
+
+
+@pytest.mark.parametrize("sigma", [0, 0.5, 1])
+def test_recall_of_one_block(sigma):
+    """The share of SHARE alone, with nothing to cluster by and lengths from alike to very unlike."""
+    rng = np.random.default_rng(8)
+    n, dim, pivots = 6000, 64, 750
+    v = rng.normal(size=(n, dim))
+    v *= (rng.lognormal(0, sigma, n) / np.linalg.norm(v, axis=1))[:, None]
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    orders = neighbours._orders(unit, unit[:pivots], neighbours.PREFIX)
+    asked = np.arange(0, n, 40)
+    hit = 0
+    for q, (at, _) in zip(asked, neighbours.search_block(v, orders, v[asked], orders[asked], pivots, 21, least=0), strict=True):
+        want = np.argsort(-(v @ v[q]), kind="stable")[:21]
+        hit += len(set(at.tolist()) & set(want.tolist()))
+    assert hit / (21 * len(asked)) >= 0.9
+
+
+def test_vectors_of_unlike_lengths(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(4000, 64)) * rng.lognormal(0, 1, 4000)[:, None]
+    vectors = [(i, [float(x) for x in row.astype(np.float32)]) for i, row in enumerate(v)]
+    got = neighbours.nearest(spark.createDataFrame(vectors, SCHEMA), block=2000)
+    assert recall([tuple(r) for r in got.collect()], list(neighbours.exact(vectors))) >= 0.95
