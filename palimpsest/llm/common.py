@@ -97,16 +97,16 @@ def fenced(df: DataFrame, made: dict[str, Column]) -> DataFrame:
     return df.select(*own, fence.alias("__fence")).select(*own, *[F.col("__fence").getField(n).alias(n) for n in made])
 
 
-def ranked(df: DataFrame, groups: list[str], order: list[Column], out: str, salts: int | Column = RANK_SALTS) -> DataFrame:
+def ranked(df: DataFrame, groups: list[str], order: list[Column], out: str, salts: int | Column = RANK_SALTS, deal: list[Column] | None = None) -> DataFrame:
     """Gapless rank from 0 within each group, in an arbitrary but repeatable order.
 
     Rows are dealt to `salts` parts of each group, a number for all or a column that is alike in a group, by a hash of
-    `order`; each part is numbered by itself and shifted by the rows of the parts before it. Only the counts, a row
+    `order`, or of `deal`; each part is numbered by itself and shifted by the rows of the parts before it. Only the counts, a row
     for each part, are gathered and broadcast, so `groups` must have a bounded number of values. `df` must be a
     written table or otherwise repeatable.
     """
     s, local, shift = "__salt", "__local", "__shift"
-    dealt = df.withColumn(s, F.pmod(F.xxhash64(*order), salts if isinstance(salts, Column) else F.lit(salts)).cast("int"))
+    dealt = df.withColumn(s, F.pmod(F.xxhash64(*(deal or order)), salts if isinstance(salts, Column) else F.lit(salts)).cast("int"))
     counts = dealt.groupBy(*groups, s).agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*groups).orderBy(s).rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.withColumn(shift, F.coalesce(F.sum("__n").over(before), F.lit(0).cast("long"))).drop("__n")
