@@ -18,10 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import unique_name
+from palimpsest.llm.common import Workspace
 
 #: Labelled rows that the model is fitted to, at most, half of either label if there are as many: those with the
-#: smallest hashes. This bounds what the driver gathers.
+#: smallest hashes. With MODEL_TERMS this bounds what the driver gathers, however long the texts are.
 TRAIN_ROWS = 8_000
 HASH_BITS = 24
 PREFIXES = (3, 4, 5, 6)
@@ -31,6 +31,12 @@ MODEL_TERMS = 4_096
 LEAST_STATISTIC = 15.0
 FACTORS = 8
 EPOCHS = 60
+#: Start, decay and step of the factors: large enough that pairs decide what single terms leave open.
+FACTOR_START = 0.1
+FACTOR_DECAY = 1e-3
+FACTOR_STEP = 0.1
+WEIGHT_DECAY = 1e-3
+WEIGHT_STEP = 0.5
 FOLDS = 5
 _WORD = re.compile(r"\w+")
 #: Words that a worker remembers the terms of.
@@ -82,70 +88,103 @@ def held_out(key) -> F.Column:
 
 
 def training_rows(df: DataFrame, labels: DataFrame, key: str, text: str, rows: int) -> DataFrame:
-    """(t, toxic): the labelled rows that the model may learn from, bounded by `rows`."""
+    """(k, t, toxic): the labelled rows that the model may learn from, `rows` at most. Of rows with the same key that
+    with the smallest text counts; an id that is labelled in both ways is toxic."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("k"), F.col("toxic").cast("int").alias("toxic"))
     known = known.groupBy("k").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("k")))
     # Two bounded samples; each is the rows with the smallest hashes.
     side = lambda label: known.filter(F.col("toxic") == label).orderBy(F.xxhash64("k"), "k").limit(rows // 2)
     picked = side(1).unionByName(side(0))
-    return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(F.broadcast(picked), "k", "inner").select("k", "t", "toxic")
+    found = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(F.broadcast(picked), "k", "inner")
+    return found.groupBy("k", "toxic").agg(F.min("t").alias("t")).select("k", "t", "toxic")
+
+
+def _likelihood(observed, expected):
+    return np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-12) / np.maximum(expected, 1e-12)), 0)
+
+
+def statistics(df: np.ndarray, hit: np.ndarray, n: int, pos: int) -> np.ndarray:
+    """Likelihood ratio statistic of terms in `df` of n rows and in `hit` of the pos toxic ones."""
+    g = _likelihood
+    return 2 * (g(hit, df * pos / n) + g(df - hit, df * (n - pos) / n) + g(pos - hit, (n - df) * pos / n) + g((n - df) - (pos - hit), (n - df) * (n - pos) / n))
+
+
+def statistic_column(df: F.Column, hit: F.Column, n: int, pos: int) -> F.Column:
+    """`statistics` in Spark."""
+    def g(observed, expected):
+        return F.when(observed > 0, observed * F.log(observed / F.greatest(expected, F.lit(1e-12)))).otherwise(0.0)
+
+    total, toxic = F.lit(float(n)), F.lit(float(pos))
+    return 2 * (g(hit, df * toxic / total) + g(df - hit, df * (total - toxic) / total) + g(toxic - hit, (total - df) * toxic / total)
+                + g((total - df) - (toxic - hit), (total - df) * (total - toxic) / total))
 
 
 def fit(sample: list[tuple[np.ndarray, int]]) -> FactorizationMachine:
-    """Fit to (terms, label) pairs: pick telling terms, then logistic loss by Adagrad over all rows, in a fixed
-    order and from a fixed start. Without rows of both labels, every text scores 0."""
+    """Fit to (terms, label) pairs in memory: pick the telling terms, then `learn`."""
     y = np.array([t for _, t in sample], float)
     if len(sample) == 0 or y.min() == y.max():
-        return FactorizationMachine(np.zeros(0, np.int64), -30.0 if not y.sum() else 0.0, np.zeros(0), np.zeros((0, FACTORS)))
+        return learn(sample, np.zeros(0, np.int64))
     keys, inverse = np.unique(np.concatenate([x for x, _ in sample]), return_inverse=True)
     row = np.repeat(np.arange(len(sample)), [len(x) for x, _ in sample])
     df = np.bincount(inverse, minlength=len(keys)).astype(float)
     hit = np.bincount(inverse, weights=y[row], minlength=len(keys))
-    n, pos = len(sample), y.sum()
+    statistic = statistics(df, hit, len(sample), y.sum())
+    order = np.lexsort((keys, -statistic))[:MODEL_TERMS]
+    return learn(sample, np.sort(keys[order[statistic[order] >= LEAST_STATISTIC]]).astype(np.int64))
 
-    def g(observed, expected):
-        return np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-12) / expected), 0)
 
-    statistic = 2 * (g(hit, df * pos / n) + g(df - hit, df * (n - pos) / n) + g(pos - hit, (n - df + 1e-9) * pos / n) + g((n - df) - (pos - hit), (n - df + 1e-9) * (n - pos) / n))
-    order = np.lexsort((keys, -statistic))[:MODEL_TERMS]
-    chosen = np.sort(order[statistic[order] >= LEAST_STATISTIC])
-    renumber = np.full(len(keys), -1)
-    renumber[chosen] = np.arange(len(chosen))
-    at, row = renumber[inverse], row[renumber[inverse] >= 0]
-    at = at[at >= 0]
-    m = len(chosen)
+def learn(sample: list[tuple[np.ndarray, int]], keys: np.ndarray) -> FactorizationMachine:
+    """The machine over the terms `keys`, in order, fitted to (terms, label) pairs: logistic loss by Adagrad over all
+    rows, in a fixed order and from a fixed start. Without rows of both labels, every text scores alike."""
+    y = np.array([t for _, t in sample], float)
+    if len(sample) == 0 or y.min() == y.max():
+        return FactorizationMachine(np.zeros(0, np.int64), -30.0 if not y.sum() else 0.0, np.zeros(0), np.zeros((0, FACTORS)))
+    n, m, pos = len(sample), len(keys), y.sum()
+    place = {int(k): i for i, k in enumerate(keys)}
+    found = [[place[t] for t in x.tolist() if t in place] for x, _ in sample]
+    row, at = np.repeat(np.arange(n), [len(x) for x in found]), np.array([i for x in found for i in x], np.int64)
     rng = np.random.default_rng(7)
-    w, v, bias = np.zeros(m), rng.normal(0, 0.01, (m, FACTORS)), -1.0
+    w, v, bias = np.zeros(m), rng.normal(0, FACTOR_START, (m, FACTORS)), -1.0
     sw, sv, sb = np.full(m, 1e-2), np.full((m, FACTORS), 1e-2), 1e-2
-    per_row = np.bincount(row, minlength=n)
     weight = np.where(y > 0, n / (2 * pos), n / (2 * (n - pos)))
     for _ in range(EPOCHS):
         s = np.stack([np.bincount(row, weights=v[at, f], minlength=n) for f in range(FACTORS)], axis=1)
         q = np.stack([np.bincount(row, weights=v[at, f] ** 2, minlength=n) for f in range(FACTORS)], axis=1)
         z = bias + np.bincount(row, weights=w[at], minlength=n) + 0.5 * (s**2 - q).sum(axis=1)
         d = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n * 10
-        gw = np.bincount(at, weights=d[row], minlength=m) + 1e-3 * w
-        gv = np.stack([np.bincount(at, weights=d[row] * (s[row, f] - v[at, f]), minlength=m) for f in range(FACTORS)], axis=1) + 1e-2 * v
+        gw = np.bincount(at, weights=d[row], minlength=m) + WEIGHT_DECAY * w
+        gv = np.stack([np.bincount(at, weights=d[row] * (s[row, f] - v[at, f]), minlength=m) for f in range(FACTORS)], axis=1) + FACTOR_DECAY * v
         gb = d.sum()
         sw, sv, sb = sw + gw**2, sv + gv**2, sb + gb**2
-        w, v, bias = w - 0.5 * gw / np.sqrt(sw), v - 0.05 * gv / np.sqrt(sv), bias - 0.5 * gb / np.sqrt(sb)
-    assert per_row.sum() == len(row)
-    return FactorizationMachine(keys[chosen].astype(np.int64), float(bias), w, v)
+        w, v, bias = w - WEIGHT_STEP * gw / np.sqrt(sw), v - FACTOR_STEP * gv / np.sqrt(sv), bias - WEIGHT_STEP * gb / np.sqrt(sb)
+    return FactorizationMachine(keys.astype(np.int64), float(bias), w, v)
 
 
 def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> FactorizationMachine:
-    """The model of at most `rows` labelled rows that are not held out; terms are made on the executors."""
-    sample = training_rows(df, labels, key, text, rows)
+    """The model of at most `rows` labelled rows that are not held out.
+
+    Terms are made, counted and chosen on the executors; the driver gets the chosen ones, MODEL_TERMS at most, and of
+    each row those among its own."""
+    ws = Workspace(df.sparkSession, "toxicity")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, ...]] = {}
         for b in batches:
-            found = [np.array(sorted(terms(t.as_py(), cache)), "<i4").tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary()), b.column(2)], names=["k", "x", "toxic"])
-
-    got = sample.mapInArrow(run, "k long, x binary, toxic int").toArrow()
+            found = pa.array([sorted(terms(t.as_py(), cache)) for t in b.column(1)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), found, b.column(2)], names=["k", "x", "toxic"])
+
+    sample = ws.table(training_rows(df, labels, key, text, rows).mapInArrow(run, "k long, x array<int>, toxic int"), "sample")
+    n, pos = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    chosen: list[int] = []
+    if 0 < pos < n:
+        counts = sample.select(F.explode("x").alias("term"), "toxic").groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"), F.sum("toxic").cast("double").alias("hit"))
+        told = counts.select("term", statistic_column(F.col("df"), F.col("hit"), n, pos).alias("s")).filter(F.col("s") >= LEAST_STATISTIC)
+        chosen = sorted(r["term"] for r in told.orderBy(F.desc("s"), "term").limit(MODEL_TERMS).collect())
+    keys = np.array(chosen, np.int64)
+    own = F.array_intersect("x", F.lit(chosen or [-1]))
+    got = sample.select("k", own.alias("x"), "toxic").toArrow()
     found = sorted(zip(got.column("k").to_pylist(), got.column("x").to_pylist(), got.column("toxic").to_pylist(), strict=True))
-    return fit([(np.frombuffer(x, "<i4"), y) for _, x, y in found])
+    return learn([(np.array(x, np.int64), y) for _, x, y in found], keys)
 
 
 def scored(df: DataFrame, model: FactorizationMachine, text: str = "text", score: str = "score") -> DataFrame:
@@ -186,8 +225,8 @@ def scored(df: DataFrame, model: FactorizationMachine, text: str = "text", score
 def judge(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
     """`df` with held_out, score and predicted (1 if score >= 0.5), fitted to the labelled rows of `df`.
 
-    Null texts count as empty and score alike; repeated rows score alike; a row with a null key is scored and counts
-    as held out; an empty table, or labels of one kind only, give a model without terms. Columns of `df` named like
+    Null texts count as empty and score alike; very long texts are scored whole; repeated rows score alike (which of
+    several texts of a labelled key is learnt from: see training_rows); a row with a null key is scored and counts as held out; an empty table, or labels of one kind only, give a model without terms. Columns of `df` named like
     a result are replaced.
     """
     model = train(df, labels, key, text, rows)
@@ -198,6 +237,3 @@ def judge(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def crc_held_out(doc_id: int) -> bool:
     """The fold rule for one id."""
     return zlib.crc32(str(doc_id).encode()) % FOLDS == 0
-
-
-__all__ = ["FactorizationMachine", "crc_held_out", "fit", "held_out", "judge", "scored", "terms", "train", "training_rows", "unique_name"]

@@ -94,3 +94,31 @@ def test_edges(spark, edge, edge_rows):
 def test_empty(no_documents, labels):
     assert toxicity.judge(no_documents, labels).count() == 0
     assert toxicity.judge(no_documents, labels.filter("false")).count() == 0
+
+
+def test_repeated_keys_count_once(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "c")] * 30, "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    got = sorted(tuple(r) for r in toxicity.training_rows(docs, marks, "doc_id", "text", 10).collect())
+    assert got == [(k, t, y) for k, t, y in [(1, "a", 1), (2, "c", 0)] if not toxicity.crc_held_out(k)]
+
+
+def test_terms_are_chosen_alike_in_spark(spark, documents, labels):
+    """The model of a table is that of its rows in memory."""
+    rows = toxicity.training_rows(documents, labels, "doc_id", "text", 100).collect()
+    cache = {}
+    want = toxicity.fit([(np.array(sorted(toxicity.terms(r["t"], cache))), r["toxic"]) for r in sorted(rows)])
+    got = toxicity.train(documents, labels, rows=100)
+    assert got.keys.tolist() == want.keys.tolist() and np.allclose(got.weights, want.weights) and np.allclose(got.factors, want.factors)
+
+
+def test_pairs_change_verdicts_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, marks = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, marks)
+    cache, changed = {}, 0
+    for r in docs.join(marks, "doc_id").filter(toxicity.held_out(toxicity.F.col("doc_id"))).select("text").collect():
+        found = toxicity.terms(r["text"], cache)
+        alone = model.bias + sum(model.weights[model.place[t]] for t in found if t in model.place)
+        changed += (model.score(found) >= 0.5) != (alone >= 0)
+    assert changed > 5
