@@ -9,6 +9,7 @@ was. Rounds go on while fewer links are cut.
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 
 from pyspark.sql import DataFrame
@@ -74,66 +75,104 @@ def propagate(ws: Workspace, nodes: DataFrame, members: DataFrame, report: list[
     Nodes without links are free. A shard's count of nodes never changes. The rounds end when no move that gains is
     left, or when one has cut no fewer links than the one before, whose result then stands. `report`, if given, gets
     the number of links cut before the first round and after each.
+
+    Free nodes are alike, so during the rounds they are counted only; they are dealt to what is left at the end.
     """
-    spark, i = ws.spark, 0
-    sizes = {r["shard"]: r["count"] for r in nodes.groupBy("shard").count().collect()}  # one for each shard
-    size, before, last = max(sizes.values(), default=0), nodes, None
+    spark = ws.spark
+    sizes, free = {}, {}
+    for r in nodes.groupBy("shard", "free").count().collect():  # two for each shard
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["count"]
+        if r["free"]:
+            free[r["shard"]] = r["count"]
+    first = dict(free)
+    linked = nodes.filter(~F.col("free")).select("node", "shard")
+    size, before, last, i = max(sizes.values(), default=0), (linked, dict(free)), None, 0
     while True:
-        placed = members.join(nodes.select("node", "shard"), "node", "inner")
+        placed = members.join(linked, "node", "inner")
         counts = ws.table(placed.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n")), f"counts{i}")
         square = lambda c: F.col(c).cast("decimal(38,0)") * F.col(c)
         pairs = counts.groupBy("hub").agg(F.sum("n").alias("m"), F.sum(square("n")).alias("q")).select(((square("m") - F.col("q")) / 2).alias("cut"))
         cut = int(pairs.agg(F.coalesce(F.sum("cut"), F.lit(0))).first()[0])
         if last is not None and cut >= last:
-            return before
+            linked, free = before
+            break
         if report is not None:
             report.append(cut)
         if not cut:
-            return nodes
-        before, last = nodes, cut
-        free = {r["shard"]: r["count"] for r in nodes.filter("free").groupBy("shard").count().collect()}  # one for each shard
-        small = counts.groupBy("hub").agg(F.sum("n").alias("m")).filter(F.col("m") <= SMALL)
-        small = ws.table(placed.join(small.select("hub"), "hub", "left_semi").groupBy("node", "shard").agg(F.min("hub").alias("hub")), f"small{i}")
-        spare = {r["shard"]: r["count"] + free.get(r["shard"], 0) for r in small.groupBy("shard").count().collect()}
-        spare = free | spare
-        away = counts.join(_homes(counts, spare, size), "hub", "inner").filter(~F.exists("homes", lambda x: x["shard"] == F.col("shard")))
-        asks = skew_join(placed, away, ["hub", "shard"], "inner")
-        turn = F.pmod(F.xxhash64("node", F.lit(i)), F.col("out"))
-        home = F.coalesce(F.try_element_at(F.filter("homes", lambda x: x["upto"] > turn), F.lit(1)), F.element_at("homes", -1))
-        asks = asks.withColumn("home", home).select("node", "shard", F.col("home.shard").alias("to"), (F.col("home.n") - F.col("n") + 1).alias("gain"), (F.col("home.n") >= BIG).alias("big"))
-        asks = asks.groupBy("node", "shard", "to").agg(F.sum("gain").alias("gain"), F.max("big").alias("big")).filter("gain > 0")
-        asks = asks.groupBy("node", "shard").agg(F.max(F.struct("gain", F.xxhash64("node", "to", F.lit(i)).alias("h"), "to", "big")).alias("best"))
-        asks = ws.table(asks.select("node", "shard", "best.to", "best.big"), f"asks{i}")
-        # Members of small groups that stay may give way, in the order of their hubs, so that most groups move as a whole.
-        settled = ws.table(small.join(asks.select("node"), "node", "left_anti"), f"settled{i}")
-        yielding = {r["shard"]: r["count"] for r in settled.groupBy("shard").count().collect()}
-        spare = {s: free.get(s, 0) + yielding.get(s, 0) for s in sizes}
-        wanted: dict[bool, dict[tuple[int, int], int]] = {True: {}, False: {}}
-        for r in asks.groupBy("shard", "to", "big").count().collect():  # twice the shards squared at most
-            wanted[r["big"]][r["shard"], r["to"]] = r["count"]
-        linked, runs, start = [], [], defaultdict(int)
-        for big in (True, False):
-            left = {s: max(0, (n if big else free.get(s, 0)) - start[s]) for s, n in spare.items()}
-            mine, loose = quotas(wanted[big], left)
-            linked += [(a, b, big, n) for (a, b), n in mine.items()]
-            for (a, b), n in sorted(loose.items()):
-                runs.append((a, start[a], start[a] + n, b))
-                start[a] += n
-        if not linked:
-            return nodes
-        limit = spark.createDataFrame(linked, "shard int, to int, big boolean, quota long")
-        own = ranked(asks, ["shard", "to", "big"], [F.col("node")], "rank", _parts(max(n for w in wanted.values() for n in w.values())))
-        moved = own.join(F.broadcast(limit), ["shard", "to", "big"], "inner").filter("rank < quota").select("node", "to")
-        if runs:
-            spans = spark.createDataFrame(runs, "shard int, low long, high long, to int")
-            given = ranked(nodes.filter("free").select("node", "shard"), ["shard"], [F.col("node")], "rank", _parts(max(free.values(), default=0)))
-            ahead = spark.createDataFrame([(s, free.get(s, 0)) for s in sizes], "shard int, ahead long")
-            after = ranked(settled, ["shard"], [F.col("hub"), F.col("node")], "rank", _parts(max(yielding.values(), default=0)), deal=[F.col("hub")])
-            after = after.join(F.broadcast(ahead), "shard", "inner").select("node", "shard", (F.col("rank") + F.col("ahead")).alias("rank"))
-            both = given.unionByName(after.select(*given.columns))
-            moved = moved.unionByName(both.join(F.broadcast(spans), "shard", "inner").filter("rank >= low and rank < high").select("node", "to"))
-        nodes = ws.table(nodes.join(moved, "node", "left").select("node", F.coalesce("to", "shard").alias("shard"), "free"), f"nodes{i}")
+            break
+        before, last = (linked, dict(free)), cut
+        moved = _round(ws, i, placed, counts, sizes, free, size)
+        if moved is None:
+            break
+        linked = ws.table(linked.join(moved, "node", "left").select("node", F.coalesce("to", "shard").alias("shard")), f"linked{i}")
         i += 1
+    if free == first:
+        return linked.withColumn("free", F.lit(False)).unionByName(nodes.filter("free"))
+    # Shards that have more free nodes than places for them give those of the last ranks to the others.
+    given = [(s, free.get(s, 0), n - free.get(s, 0)) for s, n in sorted(first.items()) if n > free.get(s, 0)]
+    wanting = [[s, n - first.get(s, 0)] for s, n in sorted(free.items()) if n > first.get(s, 0)]
+    runs = []
+    for s, at, n in given:
+        while n:
+            use = min(n, wanting[0][1])
+            runs.append((s, at, at + use, wanting[0][0]))
+            at, n, wanting[0][1] = at + use, n - use, wanting[0][1] - use
+            if not wanting[0][1]:
+                wanting.pop(0)
+    at = ranked(nodes.filter("free").select("node", "shard"), ["shard"], [F.col("node")], "rank", _parts(max(first.values())))
+    rest = at.select("node", F.coalesce(_target(runs), F.col("shard")).alias("shard"), F.lit(True).alias("free"))
+    return ws.table(linked.withColumn("free", F.lit(False)).unionByName(rest), "dealt")
+
+
+def _target(runs: list[tuple[int, int, int, int]]) -> F.Column:
+    """Where a row (shard, rank) moves by runs (shard, low, high, to), of which there are a few for each pair of shards."""
+    spans = F.lit(json.dumps([dict(zip(("s", "a", "b", "t"), r, strict=True)) for r in runs]))
+    table = F.from_json(spans, "array<struct<s:int,a:bigint,b:bigint,t:int>>")
+    return F.try_element_at(F.filter(table, lambda x: (x["s"] == F.col("shard")) & (x["a"] <= F.col("rank")) & (F.col("rank") < x["b"])), F.lit(1))["t"]
+
+
+def _round(ws: Workspace, i: int, placed: DataFrame, counts: DataFrame, sizes: dict[int, int], free: dict[int, int], size: int) -> DataFrame | None:
+    """(node, to) of the linked nodes that move in round i, and `free` changed by the free ones that make room; None if
+    none can move."""
+    spark = ws.spark
+    small = counts.groupBy("hub").agg(F.sum("n").alias("m")).filter(F.col("m") <= SMALL)
+    small = ws.table(skew_join(placed, small.select("hub"), ["hub"], "left_semi").groupBy("node", "shard").agg(F.min("hub").alias("hub")), f"small{i}")
+    spare = free | {r["shard"]: r["count"] + free.get(r["shard"], 0) for r in small.groupBy("shard").count().collect()}
+    away = counts.join(_homes(counts, spare, size), "hub", "inner").filter(~F.exists("homes", lambda x: x["shard"] == F.col("shard")))
+    asks = skew_join(placed, away, ["hub", "shard"], "inner")
+    turn = F.pmod(F.xxhash64("node", F.lit(i)), F.col("out"))
+    home = F.coalesce(F.try_element_at(F.filter("homes", lambda x: x["upto"] > turn), F.lit(1)), F.element_at("homes", -1))
+    asks = asks.withColumn("home", home).select("node", "shard", F.col("home.shard").alias("to"), (F.col("home.n") - F.col("n") + 1).alias("gain"), (F.col("home.n") >= BIG).alias("big"))
+    asks = asks.groupBy("node", "shard", "to").agg(F.sum("gain").alias("gain"), F.max("big").alias("big")).filter("gain > 0")
+    asks = asks.groupBy("node", "shard").agg(F.max(F.struct("gain", F.xxhash64("node", "to", F.lit(i)).alias("h"), "to", "big")).alias("best"))
+    asks = ws.table(asks.select("node", "shard", "best.to", "best.big"), f"asks{i}")
+    # Members of small groups that stay may give way, in the order of their hubs, so that most groups move as a whole.
+    settled = ws.table(small.join(asks.select("node"), "node", "left_anti"), f"settled{i}")
+    yielding = {r["shard"]: r["count"] for r in settled.groupBy("shard").count().collect()}
+    wanted: dict[bool, dict[tuple[int, int], int]] = {True: {}, False: {}}
+    for r in asks.groupBy("shard", "to", "big").count().collect():  # twice the shards squared at most
+        wanted[r["big"]][r["shard"], r["to"]] = r["count"]
+    limits, runs, start, left = [], [], defaultdict(int), dict(free)
+    for big in (True, False):
+        room = {s: left.get(s, 0) + big * (yielding.get(s, 0)) for s in sizes}
+        mine, loose = quotas(wanted[big], room)
+        limits += [(a, b, big, n) for (a, b), n in mine.items()]
+        for (a, b), n in sorted(loose.items()):
+            use = min(n, left.get(a, 0))
+            left[a] = left.get(a, 0) - use
+            free[a], free[b] = free.get(a, 0) - use, free.get(b, 0) + use
+            if n > use:
+                runs.append((a, start[a], start[a] + n - use, b))
+                start[a] += n - use
+    if not limits:
+        return None
+    limit = spark.createDataFrame(limits, "shard int, to int, big boolean, quota long")
+    own = ranked(asks, ["shard", "to", "big"], [F.col("node")], "rank", _parts(max(n for w in wanted.values() for n in w.values())))
+    moved = own.join(F.broadcast(limit), ["shard", "to", "big"], "inner").filter("rank < quota").select("node", "to")
+    if runs:
+        at = ranked(settled, ["shard"], [F.col("hub"), F.col("node")], "rank", _parts(max(yielding.values())), deal=[F.col("hub")])
+        moved = moved.unionByName(at.select("node", _target(runs).alias("to")).filter("to is not null"))
+    return moved
 
 
 def shard_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, report: list[int] | None = None) -> DataFrame:
