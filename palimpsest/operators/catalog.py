@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from urllib.parse import quote_plus, unquote_plus
 
@@ -33,6 +34,29 @@ def fields(docs: DataFrame) -> DataFrame:
     return metadata(docs).select(F.explode(F.map_keys("meta")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
+def field_rank(key: Column) -> Column:
+    """By what fields are shown in order: title first, then characters, then the others by name."""
+    return F.struct(F.when(key == "title", 0).when(key == "characters", 1).otherwise(2).alias("group"), key.alias("key"))
+
+
+def field_list(docs: DataFrame) -> DataFrame:
+    """(place, key): the metadata fields of some documents in the order that they are shown in; there are few."""
+    from pyspark.sql import Window
+
+    return fields(docs).select(F.row_number().over(Window.orderBy(field_rank(F.col("key")))).cast("long").alias("place"), "key")
+
+
+def typed(meta: Column) -> Column:
+    """JSON members of a metadata map, numbers as such and all else as strings, in the order of `field_rank`."""
+    from palimpsest.functions.text import is_number
+
+    quoted = lambda c: F.substring(F.to_json(F.struct(c.alias("v"))), F.lit(6), F.length(F.to_json(F.struct(c.alias("v")))) - 6)
+    entries = F.transform(F.map_entries(meta), lambda e: F.struct(field_rank(e["key"]).alias("rank"), e["key"].alias("k"), e["value"].alias("v")))
+    shown = F.filter(F.array_sort(entries), lambda x: x["v"].isNotNull() & (x["v"] != ""))
+    # A lone minus and a number with leading minuses count as numbers, but JSON has no such.
+    return F.array_join(F.transform(shown, lambda x: F.concat(quoted(x["k"]), F.lit(":"), F.when(is_number(x["v"]) & x["v"].rlike("^-?[0-9]"), x["v"]).otherwise(quoted(x["v"])))), ",")
+
+
 def document(docs: DataFrame, doctype: int, docid: int) -> DataFrame:
     """One document by its key; columns not used later are not read."""
     return docs.filter((F.col("doctype") == doctype) & (F.col("docid") == docid))
@@ -47,6 +71,17 @@ class Page:
     cursor: str = ""
     limit: int = 100
 
+    def __post_init__(self) -> None:
+        if not re.fullmatch(r"-?\S+", self.order_by) or self.limit < 0:
+            raise ValueError("a page needs the name of a field and a limit from 0")
+
+    @classmethod
+    def asked(cls, source: str | None = None, order_by: str | None = None, cursor: str | None = None, limit: str | int | None = None) -> Page:
+        """A page from parameters as they come; those that make no sense give way to defaults."""
+        order = order_by if order_by and re.fullmatch(r"-?\S+", order_by) else "doctype"
+        at = cursor if cursor and re.fullmatch(r"[^:]+(:\d+)?(:\d+)?", cursor) else ""
+        return cls(source, order, at, int(limit) if re.fullmatch(r"\d+", str(limit)) else 100)
+
     @property
     def key(self) -> str:
         return self.order_by.removeprefix("-")

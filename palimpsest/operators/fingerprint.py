@@ -14,6 +14,8 @@ from palimpsest.functions import text as tx
 SCHEMA = "doctype long, docid long, pos long, hash long"
 #: Window rows in one batch that leaves a worker, about.
 ROWS = 1 << 18
+#: Bytes of a collection, by Catalyst's estimate, below which it is dealt to more tasks than its files make.
+SMALL_BYTES = 1 << 30
 
 
 def hashes_of(data: bytes, width: int, config: MatchConfig) -> tuple[np.ndarray, np.ndarray]:
@@ -28,6 +30,32 @@ def hashes_of(data: bytes, width: int, config: MatchConfig) -> tuple[np.ndarray,
     return pos, h[pos].view(np.int64)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """`docs` in as many partitions as a shuffle makes, where a file read makes fewer: a window row is ten times as
+    large as the byte that it begins at, so few large partitions keep few workers busy for long."""
+    spark = docs.sparkSession
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(4 * spark.sparkContext.defaultParallelism) if size < SMALL_BYTES else docs
+
+
+def window_counts(docs: DataFrame, config: MatchConfig) -> DataFrame:
+    """(doctype, docid, n_windows, n_blank, n_distinct) of the indexed windows of each document."""
+    names = ["doctype", "docid", "n_windows", "n_blank", "n_distinct"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list[int]] = [[], [], []]
+            for t in b.column(2):
+                data = (t.as_py() or "").encode("utf-8", "surrogatepass")
+                _, h = hashes_of(data, config.short, config)
+                total = len(data) - config.short + 1 if len(data) >= config.window else 0
+                for column, n in zip(out, (total, total - len(h), len(np.unique(h))), strict=True):
+                    column.append(n)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in out)], names=names)
+
+    return spread(docs.select("doctype", "docid", "text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
 def fingerprints(docs: DataFrame, config: MatchConfig, width: int | None = None, distinct: bool = False, only=None) -> DataFrame:
     """(doctype, docid, pos, hash) of every window of `docs` (doctype, docid, text), `width` bytes wide.
 
@@ -35,7 +63,7 @@ def fingerprints(docs: DataFrame, config: MatchConfig, width: int | None = None,
     array of hashes; others are left out in the worker, before they reach the JVM.
     """
     width = width or config.short
-    picked = docs.select("doctype", "docid", "text")
+    picked = spread(docs.select("doctype", "docid", "text").filter("doctype is not null and docid is not null"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = only.value if only is not None else None
@@ -67,4 +95,4 @@ def fingerprints(docs: DataFrame, config: MatchConfig, width: int | None = None,
         if parts:
             yield flush()
 
-    return picked.filter("doctype is not null and docid is not null").mapInArrow(run, SCHEMA)
+    return picked.mapInArrow(run, SCHEMA)

@@ -1,4 +1,6 @@
-"""The inverted index as a table: postings, listings, statistics."""
+"""The inverted index as a table: postings, listings, statistics.
+
+A document stands once in a collection, so a posting line has as many documents as rows and none is counted twice."""
 
 from __future__ import annotations
 
@@ -6,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.config import MatchConfig
-from palimpsest.operators.fingerprint import fingerprints
+from palimpsest.operators.fingerprint import fingerprints, window_counts
 
 
 def postings(docs: DataFrame, config: MatchConfig) -> DataFrame:
@@ -27,12 +29,12 @@ def without(table: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def lines(table: DataFrame) -> DataFrame:
     """(hash, doctype, n_docs, docids sorted): posting lines."""
-    return table.groupBy("hash", "doctype").agg(F.count_distinct("docid").alias("n_docs"), F.array_sort(F.collect_set("docid")).alias("docids"))
+    return table.groupBy("hash", "doctype").agg(F.count(F.lit(1)).alias("n_docs"), F.array_sort(F.collect_list("docid")).alias("docids"))
 
 
 def sizes(table: DataFrame) -> DataFrame:
     """(hash, doctype, n_docs), without gathering the documents."""
-    return table.groupBy("hash", "doctype").agg(F.count_distinct("docid").alias("n_docs"))
+    return table.groupBy("hash", "doctype").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 def listing(table: DataFrame, start: int | None = None, limit: int = 100) -> DataFrame:
@@ -54,25 +56,21 @@ def document_counts(table: DataFrame) -> DataFrame:
 def gap_counts(table: DataFrame) -> DataFrame:
     """(doctype, gap, n): differences of neighbouring document numbers in posting lines; the first counts from 0."""
     w = Window.partitionBy("hash", "doctype").orderBy("docid")
-    gaps = table.distinct().select("doctype", (F.col("docid") - F.coalesce(F.lag("docid").over(w), F.lit(0))).alias("gap"))
+    gaps = table.select("doctype", (F.col("docid") - F.coalesce(F.lag("docid").over(w), F.lit(0))).alias("gap"))
     return gaps.groupBy("doctype", "gap").agg(F.count(F.lit(1)).alias("n"))
 
 
-def status(docs: DataFrame, config: MatchConfig) -> DataFrame:
-    """One row: documents, bytes, distinct hashes, their averages in whole numbers."""
+def status(docs: DataFrame, config: MatchConfig, table: DataFrame | None = None) -> DataFrame:
+    """One row: documents, bytes, distinct hashes, their averages in whole numbers. `table` are the documents' postings,
+    if they are there already."""
     size = F.octet_length(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     totals = docs.agg(F.count(F.lit(1)).alias("doc_count"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("total_bytes"))
-    hashes = postings(docs, config).agg(F.count_distinct("hash").alias("hash_count"))
+    hashes = (postings(docs, config) if table is None else table).select("hash").distinct().agg(F.count(F.lit(1)).alias("hash_count"))
     whole = lambda a, b: F.expr(f"{a} div nullif({b}, 0)")
     both = totals.withColumn("k", F.lit(1)).join(hashes.withColumn("k", F.lit(1)), "k").drop("k")
     return both.withColumn("average_hashes", whole("total_bytes", "hash_count")).withColumn("average_doc_length", whole("total_bytes", "doc_count"))
 
 
 def windows(docs: DataFrame, config: MatchConfig) -> DataFrame:
-    """(doctype, docid, n_windows, n_blank, n_distinct) of every document."""
-    size = F.octet_length(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    total = F.when(size >= config.window, size - config.short + 1).otherwise(0).cast("long")
-    found = fingerprints(docs, config).groupBy("doctype", "docid").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("hash").alias("d"))
-    out = docs.select("doctype", "docid", total.alias("n_windows")).join(found, ["doctype", "docid"], "left")
-    n = F.coalesce("n", F.lit(0))
-    return out.select("doctype", "docid", "n_windows", (F.col("n_windows") - n).alias("n_blank"), F.coalesce("d", F.lit(0)).alias("n_distinct"))
+    """(doctype, docid, n_windows, n_blank, n_distinct) of every document, counted where its text is."""
+    return window_counts(docs, config)

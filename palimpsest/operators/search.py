@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest.config import MatchConfig
 from palimpsest.operators.fingerprint import fingerprints
 from palimpsest.operators.ranges import within
+from palimpsest.sources.store import staged
 
 #: A query side with no more distinct hashes than this is sent to every task; beyond it both sides are shuffled.
 SMALL = 2_000_000
@@ -57,8 +58,56 @@ def tallies(found: DataFrame, config: MatchConfig) -> DataFrame:
     return rows.filter("closes").groupBy("q_doctype", "q_docid", "doctype", "docid").agg(F.count(F.lit(1)).alias("tally"))
 
 
-def candidates(query: DataFrame, docs: DataFrame, config: MatchConfig, target: str | None = None) -> DataFrame:
-    """Ranked candidates of every query: tallies plus place, from 1, by tally, then document."""
-    got = tallies(hits(query, docs, config, target), config)
+def run_tallies(query: DataFrame, docs: DataFrame, config: MatchConfig, target: str | None = None) -> DataFrame:
+    """What `tallies` makes of `hits`, for many queries: exact, but by runs of windows instead of single ones.
+
+    Windows that stand in the same set of documents are one class, known by two digests of the set that no task has to
+    hold. A passage that many documents share is then one run of a class in each query, and meets each document once,
+    however long it is; the pairs of runs are chained by position as single windows would be."""
+    asked = fingerprints(query, config).select(F.col("doctype").alias("q_doctype"), F.col("docid").alias("q_docid"), "pos", "hash")
+    have = staged(fingerprints(docs.filter(within(F.col("doctype"), target)), config, distinct=True).select("hash", "doctype", "docid"), "postings")
+    digest = lambda salt: F.bit_xor(F.xxhash64("doctype", "docid", F.lit(salt)))
+    classes = have.groupBy("hash").agg(F.count(F.lit(1)).alias("df"), digest(1).alias("c1"), digest(2).alias("c2"), F.min(F.struct("doctype", "docid")).alias("one"))
+    if config.max_df is not None:
+        classes = classes.filter(F.col("df") <= config.max_df)
+    own = ["q_doctype", "q_docid"]
+    placed = asked.join(classes, "hash", "inner")
+    # A window that the query alone has tells nothing.
+    placed = placed.filter((F.col("df") > 1) | (F.col("one.doctype") != F.col("q_doctype")) | (F.col("one.docid") != F.col("q_docid"))).select(*own, "pos", "df", "c1", "c2", "hash")
+    w = Window.partitionBy(*own).orderBy("pos")
+    same = (F.lag("pos").over(w) == F.col("pos") - 1) & (F.lag("c1").over(w) == F.col("c1")) & (F.lag("c2").over(w) == F.col("c2")) & (F.lag("df").over(w) == F.col("df"))
+    marked = placed.withColumn("new", (~F.coalesce(same, F.lit(False))).cast("int")).withColumn("run", F.sum("new").over(w))
+    runs = staged(marked.groupBy(*own, "run", "df", "c1", "c2").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"), F.min("hash").alias("hash")), "runs")
+    # Any window of a class stands for it.
+    named = runs.groupBy("df", "c1", "c2").agg(F.min("hash").alias("hash"))
+    members = have.join(named, "hash", "inner").select("df", "c1", "c2", "doctype", "docid")
+    pairs = runs.select(*own, "pos", "n", "df", "c1", "c2").join(members, ["df", "c1", "c2"], "inner")
+    pairs = pairs.filter((F.col("q_doctype") != F.col("doctype")) | (F.col("q_docid") != F.col("docid")))
+    p = Window.partitionBy(*own, "doctype", "docid").orderBy("pos")
+    gap = F.col("pos") - F.coalesce(F.lag("pos").over(p) + F.lag("n").over(p) - 1, F.lit(0) if config.strict else F.lit(None))
+    linked = F.coalesce(F.pmod(gap, F.lit(256)) == 1 if config.strict else gap == 1, F.lit(False)).cast("int")
+    chained = pairs.withColumn("linked", linked).withColumn("chain", F.sum(1 - F.col("linked")).over(p))
+    # Of a chain's windows those from the seventh step of one on close a run; the first of a run is a step if linked.
+    steps = chained.groupBy(*own, "doctype", "docid", "chain").agg(F.sum(F.col("n") - 1 + F.col("linked")).alias("steps"))
+    closing = F.greatest(F.col("steps") - (6 if config.strict else 5), F.lit(0))
+    return steps.groupBy(*own, "doctype", "docid").agg(F.sum(closing).alias("tally")).filter("tally > 0")
+
+
+def candidates(query: DataFrame, docs: DataFrame, config: MatchConfig, target: str | None = None, many: bool = False) -> DataFrame:
+    """Ranked candidates of every query: tallies plus place, from 1, by tally, then document. `many` queries, such as a
+    whole collection, are tallied by runs of windows; the result is the same."""
+    got = run_tallies(query, docs, config, target) if many else tallies(hits(query, docs, config, target), config)
     w = Window.partitionBy("q_doctype", "q_docid").orderBy(F.desc("tally"), "doctype", "docid")
     return got.withColumn("place", F.row_number().over(w))
+
+
+def counters(query: DataFrame, docs: DataFrame, config: MatchConfig, windows) -> DataFrame:
+    """What a search counts for each query: its windows, those that are blank, documents that share any window, and
+    those that are candidates. `windows` counts the windows of texts."""
+    own = windows(query, config).select("doctype", "docid", "n_windows", "n_blank")
+    found = staged(hits(query, docs, config), "hits")
+    mine = [F.col("q_doctype").alias("doctype"), F.col("q_docid").alias("docid")]
+    any_ = found.select(*mine, F.col("doctype").alias("d"), F.col("docid").alias("i")).distinct().groupBy("doctype", "docid").agg(F.count(F.lit(1)).alias("documents"))
+    ranked = tallies(found, config).select(*mine).groupBy("doctype", "docid").agg(F.count(F.lit(1)).alias("results"))
+    out = own.join(any_, ["doctype", "docid"], "left").join(ranked, ["doctype", "docid"], "left")
+    return out.fillna(0, ["documents", "results"])

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from palimpsest.config import MatchConfig
 from palimpsest.functions import text as tx
 from palimpsest.operators import associate, catalog, index, metrics, search
+from palimpsest.operators.fingerprint import window_counts
 from palimpsest.operators.ranges import within
+from palimpsest.plans.engine import Engine, counted
 from palimpsest.sources.documents import corpus, passages
 from palimpsest.streaming import commands
 
@@ -67,6 +69,18 @@ def meta_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.fields(corpus(spark, sf_dir))
 
 
+@query(f"WITH {_META} SELECT CAST(row_number() OVER (ORDER BY CASE key WHEN 'title' THEN 0 WHEN 'characters' THEN 1 ELSE 2 END, key) AS BIGINT) AS place, key FROM keyed GROUP BY key")
+def field_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.field_list(corpus(spark, sf_dir))
+
+
+@query(f"WITH {_DOCS} SELECT doctype, docid, text FROM docs WHERE (doctype = 3 AND docid % 10 = 3) OR docid = 8")
+def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = corpus(spark, sf_dir)
+    one = catalog.document(d, d.filter("docid = 8").first()["doctype"], 8)
+    return one.unionByName(d.filter("doctype = 3 and docid % 10 = 3")).select("doctype", "docid", "text").distinct()
+
+
 @query(f"WITH {_DOCS} SELECT doctype, count(*) AS n FROM docs WHERE doctype BETWEEN 1 AND 2 OR doctype = 5 OR doctype BETWEEN 7 AND 9 GROUP BY doctype")
 def doctype_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).filter(within(F.col("doctype"), "1-2:5:9-7")).groupBy("doctype").agg(F.count(F.lit(1)).alias("n"))
@@ -263,6 +277,87 @@ def fragment_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.hex("data").alias("passage"), "length", "count", "doc_count")
 
 
+@query(
+    f"WITH {_found()}, short AS (SELECT q_doctype, q_docid, doctype, docid, count(*) FILTER (len(keep) = 0 OR list_max(keep) + 1 - list_min(keep) < 30) AS too_short FROM cut GROUP BY 1, 2, 3, 4),"
+    " long AS (SELECT q_docid, doctype, docid, count(*) AS results, sum(length) AS total_characters FROM frag GROUP BY 1, 2, 3)"
+    " SELECT t.q_doctype, t.q_docid, t.doctype, t.docid, t.tally, coalesce(too_short, 0) AS too_short, coalesce(results, 0) AS results, CAST(coalesce(total_characters, 0) AS BIGINT) AS total_characters"
+    " FROM tally t LEFT JOIN short USING (q_doctype, q_docid, doctype, docid) LEFT JOIN long USING (q_docid, doctype, docid)")
+def association_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = associate.counters(passages(spark, sf_dir), corpus(spark, sf_dir), CONFIG)
+    return got.select(*associate.PAIR, "tally", "too_short", "results", "total_characters")
+
+
+@query(
+    f"WITH {_tally(True)}, w AS (SELECT doctype, docid, count(*) AS n_windows, count(*) FILTER (blank) AS n_blank FROM asks_g24 GROUP BY 1, 2),"
+    " f AS (SELECT q_doctype AS doctype, q_docid AS docid, count(DISTINCT (doctype, docid)) AS documents FROM hit GROUP BY 1, 2), r AS (SELECT q_doctype AS doctype, q_docid AS docid, count(*) AS results FROM tally GROUP BY 1, 2)"
+    " SELECT doctype, docid, coalesce(n_windows, 0) AS n_windows, coalesce(n_blank, 0) AS n_blank, coalesce(documents, 0) AS documents, coalesce(results, 0) AS results"
+    " FROM asks LEFT JOIN w USING (doctype, docid) LEFT JOIN f USING (doctype, docid) LEFT JOIN r USING (doctype, docid)")
+def search_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.counters(passages(spark, sf_dir), corpus(spark, sf_dir), CONFIG, window_counts)
+
+
+_PASSAGES = (
+    f"{_found()}, side AS (SELECT DISTINCT passage, length, doctype, docid FROM topfrag UNION SELECT DISTINCT passage, length, q_doctype, q_docid FROM topfrag),"
+    " spread AS (SELECT passage, length, count(*) AS doc_count FROM side GROUP BY 1, 2),"
+    " groups AS (SELECT passage, CAST(length AS BIGINT) AS length, count(*) AS count, any_value(doc_count) AS doc_count FROM topfrag JOIN spread USING (passage, length) GROUP BY 1, 2)")
+
+
+@query(f"WITH {_PASSAGES} SELECT CAST(row_number() OVER (ORDER BY doc_count DESC, length DESC, passage) AS INT) AS place, passage, length, count, doc_count FROM groups WHERE length >= 40 QUALIFY place BETWEEN 2 AND 21")
+def fragment_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = associate.invert(_associations(spark, sf_dir), passages(spark, sf_dir))
+    return associate.fragment_page(got, "-doc_count", 1, 20, 40).select("place", F.hex("data").alias("passage"), "length", "count", "doc_count")
+
+
+@query(f"WITH {_PASSAGES}, one AS (SELECT passage, length FROM groups ORDER BY length DESC, passage LIMIT 1) SELECT DISTINCT q_doctype, q_docid, doctype, docid FROM topfrag SEMI JOIN one USING (passage, length)")
+def associations_containing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _associations(spark, sf_dir)
+    first = associate.fragment_page(associate.invert(found, passages(spark, sf_dir)), "-length", 0, 1).first()
+    return associate.containing(found, first["hash"], first["length"]).select(*associate.PAIR)
+
+
+@query(
+    f"WITH {_found()}, {_META[len(_DOCS) + 2:]} SELECT 'Document' AS name, count(*) AS records FROM docs UNION ALL SELECT 'Meta', count(*) FROM keyed"
+    " UNION ALL SELECT 'Association', 2 * count(*) FROM top")
+def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus(spark, sf_dir)
+    return counted({"Document": docs, "Meta": catalog.long_form(docs), "Association": associate.symmetric(_associations(spark, sf_dir))})
+
+
+def _collection(spark: SparkSession, sf_dir: str) -> Engine:
+    """The documents as a collection, to which the passages are added by commands."""
+    e = Engine(spark, corpus(spark, sf_dir), CONFIG)
+    e.add_all(passages(spark, sf_dir).withColumn("meta", F.create_map(F.lit("kind"), F.lit("benchmark"))))
+    return e
+
+
+@query(
+    f"WITH {_found('doctype <> 2')} SELECT q_doctype, q_docid, doctype, docid, fragment_count, total_length FROM top")
+def process_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are dropped, passages added and each associated with a range of types, all by commands."""
+    e = _collection(spark, sf_dir)
+    for r in e.docs.filter("doctype = 2").select("docid").collect():  # a twentieth of a test collection
+        e.drop(2, r["docid"])
+    for r in passages(spark, sf_dir).select("docid").collect():
+        e.associate(100, r["docid"], "1-20")
+    while e.process():
+        pass
+    return associate.summary(e.associations().filter("q_doctype = 100"))
+
+
+@query(
+    f"WITH {_found('doctype BETWEEN 1 AND 5')}, left_ AS (SELECT * FROM top WHERE doctype <> 3) SELECT q_doctype, q_docid, doctype, docid, fragment_count, total_length FROM left_"
+    " UNION ALL SELECT doctype, docid, q_doctype, q_docid, fragment_count, total_length FROM left_")
+def association_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Associations of all passages are saved as seen from either side; those of dropped documents go with them."""
+    e = _collection(spark, sf_dir)
+    e.associate_all("100", "1-5")
+    e.process()
+    for r in e.associations().filter("doctype = 3").select("docid").distinct().collect():  # those found with a passage
+        e.drop(3, r["docid"])
+    e.process()
+    return associate.summary(e.associations())
+
+
 @query(
     f"WITH {_DOCS}, g AS (SELECT *, min(struct_pack(a := doctype, b := docid)) OVER (PARTITION BY coalesce(text, '')) AS r, count(*) OVER (PARTITION BY coalesce(text, '')) AS n FROM docs)"
     " SELECT doctype, docid, r.a AS rep_doctype, r.b AS rep_docid, n AS copies FROM g")
@@ -330,3 +425,37 @@ def performance_slowest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def performance_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return metrics.first_of_each(e, "event_type", [F.desc("ts"), F.desc("event_id")], 10).select("event_type", "event_id", "rank")
+
+
+@query(
+    "WITH m AS (SELECT *, event_id % 2 AS side FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY side, event_type ORDER BY value DESC, event_id) AS r FROM m)"
+    " SELECT event_type, event_id, value, CAST(row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS INT) AS rank FROM r WHERE r <= 10 QUALIFY rank <= 10")
+def performance_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slowest of two sessions that each hold their own slowest."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "event_id", "value")
+    order = [F.desc("value"), F.asc("event_id")]
+    sides = [metrics.first_of_each(e.filter(F.col("event_id") % 2 == n), "event_type", order, 10) for n in (0, 1)]
+    return metrics.merged(sides, "event_type", order, 10)
+
+
+@query(
+    "WITH r AS (SELECT event_type, value, user_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC NULLS LAST, event_id) AS s, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS l FROM events),"
+    " g AS (SELECT 'Slowest' AS grp, event_type, value, user_id FROM r WHERE s <= 20 UNION ALL SELECT 'Recent', event_type, value, user_id FROM r WHERE l <= 20)"
+    " SELECT grp AS \"group\", event_type AS name, 'Total' AS instance, round(sum(value), 4) AS seconds, CAST(sum(user_id) AS BIGINT) AS users FROM g GROUP BY 1, 2"
+    " UNION ALL SELECT grp, event_type, 'Average', round(avg(value), 4), CAST(sum(user_id) // count(*) AS BIGINT) FROM g GROUP BY 1, 2")
+def performance_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals and averages of the latest and the slowest measures of each operation."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    measures = e.select(
+        F.col("event_type").alias("name"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("instance"), F.col("event_id").cast("double").alias("at"),
+        F.create_map(F.lit("seconds"), F.col("value")).alias("timers"), F.create_map(F.lit("users"), F.col("user_id").cast("long")).alias("counters"))
+    got = metrics.summed(metrics.history(measures, "seconds")).filter(F.col("instance").isin("Total", "Average"))
+    return got.select("group", "name", "instance", F.round(F.element_at("timers", "seconds"), 4).alias("seconds"), F.element_at("counters", "users").alias("users"))
+
+
+@query(
+    f"WITH {_LOG}, o AS (SELECT queue_id, row_number() OVER (ORDER BY queue_id) AS r, count(*) OVER () AS n FROM log), h AS (SELECT min(r) AS r FROM o WHERE queue_id >= 500)"
+    " SELECT min(queue_id) AS first, max(queue_id) FILTER (o.r = greatest(1, h.r - 50)) AS previous, max(queue_id) FILTER (o.r = h.r + 50) AS next, max(queue_id) FILTER (o.r = n - 49) AS last, max(n) AS total FROM o, h")
+def queue_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = commands.cursors(command_log(spark, sf_dir), 500, 50)
+    return spark.createDataFrame([tuple(got.values())], ", ".join(f"{k} long" for k in got))

@@ -10,9 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from palimpsest.sources.store import Table, staged
+
 LOG = "queue_id long, action string, doctype long, docid long, source string, target string, text string, status string"
 #: Within one queue_id a drop comes first, so adding a document again replaces it.
 PRIORITY = {"drop": 1, "add": 2, "associate_all": 3, "associate": 4, "load": 5}
+#: Numbers of the states of a command, by which the queue sorts.
+STATUS = {"Finished": 1, "Failed": 2, "Active": 3, "Queued": 4}
+#: What may run together: changes of documents, or commands of one other action.
+KIND = {"drop": "change", "add": "change", "associate_all": "associate_all", "associate": "associate", "load": "load"}
 
 
 def priority(action) -> F.Column:
@@ -36,10 +42,23 @@ def latest(log: DataFrame) -> DataFrame:
 
 
 def applied(docs: DataFrame, log: DataFrame) -> DataFrame:
-    """`docs` (doctype, docid, text) after all commands of `log`."""
-    last = latest(log).select("doctype", "docid", "action", "text")
-    kept = docs.select("doctype", "docid", "text").join(last.select("doctype", "docid"), ["doctype", "docid"], "left_anti")
-    return kept.unionByName(last.filter(F.col("action") == "add").select("doctype", "docid", "text"))
+    """`docs` (doctype, docid, text, and meta if `log` has it too) after all commands of `log`. An added document
+    replaces the one that was there, with its metadata."""
+    columns = ["doctype", "docid", "text", *(["meta"] if "meta" in docs.columns and "meta" in log.columns else [])]
+    last = latest(log).select("action", *columns)
+    kept = docs.select(*columns).join(last.select("doctype", "docid"), ["doctype", "docid"], "left_anti")
+    return kept.unionByName(last.filter(F.col("action") == "add").select(*columns))
+
+
+def runs(keys: list[tuple[int, str]]) -> list[tuple[str, int, int]]:
+    """(kind, first and last place) of the stretches of commands, (queue_id, action) in order, that may run together."""
+    out: list[tuple[str, int, int]] = []
+    for i, (_, action) in enumerate(keys):
+        if out and out[-1][0] == KIND[action]:
+            out[-1] = (out[-1][0], out[-1][1], i)
+        else:
+            out.append((KIND[action], i, i))
+    return out
 
 
 def associations_due(log: DataFrame, docs: DataFrame) -> DataFrame:
@@ -61,35 +80,42 @@ def listing(log: DataFrame, start: int = 0, limit: int = 100) -> DataFrame:
     return log.withColumn("priority", priority(F.col("action"))).filter(F.col("queue_id") >= start).orderBy("queue_id", "priority").limit(limit)
 
 
+def cursors(log: DataFrame, start: int = 0, limit: int = 100) -> dict[str, int | None]:
+    """Queue ids of the first command, of those that the previous, the next and the last page begin with, and how many
+    commands there are. Each is a bounded sort."""
+    order = [F.col("queue_id"), priority(F.col("action"))]
+    take = lambda rows, n, back=False: [r[0] for r in rows.orderBy(*[x.desc() if back else x.asc() for x in order]).select("queue_id").limit(n).collect()]
+    here = take(log.filter(F.col("queue_id") >= start), limit + 1)
+    before = take(log.filter(F.col("queue_id") < start), limit, True)
+    ends = take(log, limit, True)
+    first = take(log, 1)
+    return {
+        "first": first[0] if first else None, "previous": before[-1] if before else None, "next": here[limit] if len(here) > limit else None,
+        "last": ends[-1] if ends else None, "total": log.count()}
+
+
 def numbered(commands: DataFrame, after: int) -> DataFrame:
-    """Commands with queue_ids that follow `after`, in the order of their `at` column."""
-    return commands.withColumn("queue_id", F.row_number().over(Window.orderBy("at")) + F.lit(after))
+    """Commands with queue_ids that follow `after`, in the order of their `at` column, without gaps. They are laid out
+    by `at` once; each task numbers its own, and the counts of the tasks before, one row for each, are added."""
+    n = int(commands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = commands.repartitionByRange(n, "at").sortWithinPartitions("at").withColumn("__at", F.monotonically_increasing_id())
+    laid = staged(laid, "commands")
+    part = F.shiftrightunsigned(F.col("__at"), 33)
+    counts = laid.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    shifts = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
+    both = laid.withColumn("__p", part).join(F.broadcast(shifts), "__p")
+    return both.withColumn("queue_id", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__s") + F.lit(after + 1)).drop("__at", "__p", "__s")
 
 
-class Versions:
-    """Versions of a collection in a folder, one for each batch; the newest complete one counts."""
+class Versions(Table):
+    """Versions of a collection in a folder, one for each batch of commands; the newest complete one counts."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _numbers(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        return sorted(
-            int(s.getPath().getName()[1:]) for s in fs.listStatus(root)
-            if s.getPath().getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-
-    def read(self, before: int | None = None) -> DataFrame:
-        numbers = [n for n in self._numbers() if before is None or n < before]
-        if not numbers:
-            return self.spark.createDataFrame([], "doctype long, docid long, text string")
-        return self.spark.read.parquet(f"{self.path}/v{numbers[-1]}")
+        super().__init__(spark, path, "doctype long, docid long, text string")
 
     def apply(self, batch: DataFrame, number: int) -> None:
-        applied(self.read(number), batch).write.mode("overwrite").parquet(f"{self.path}/v{number}")
+        """Fold a batch into the version before it. A batch that is run again writes the same version."""
+        self.write(applied(self.read(number), batch), number)
 
 
 def run(spark: SparkSession, log_path: str, versions: Versions, checkpoint: str, files_per_batch: int = 20) -> StreamingQuery:

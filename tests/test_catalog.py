@@ -1,6 +1,9 @@
 """Ranges of types, pages and cursors, sources."""
 
+import json
+
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.operators import catalog, ranges
 from palimpsest.sources import documents as src
@@ -75,3 +78,42 @@ def test_new_documents(spark):
     assert [r["docid"] for r in src.missing_from(new, have).collect()] == [6]
     assert sorted(r["docid"] for r in src.numbered(new.drop("docid"), have).collect()) == [6, 7]
     assert src.as_json(have.select("doctype", "docid").limit(1)).first()[0].startswith('{"doctype":1')
+
+
+def test_forms_bear_bad_input(spark):
+    payloads = ["text=a&k=1&k=2", "text=%zz&x=%41", "k=1", "", None, "&&=x&text=y&k", "text=a&text="]
+    got = src.forms(spark.createDataFrame([(1, i, p) for i, p in enumerate(payloads)], "doctype long, docid long, payload string"))
+    rows = {r["docid"]: (r["text"], r["meta"]) for r in got.collect()}
+    assert rows == {0: ("a", {"k": "2"}), 1: ("%zz", {"x": "A"}), 5: ("y", {"k": ""})}
+
+
+def test_numbers_within_a_large_type(spark):
+    rows = [(1, f"t{i:04d}") for i in range(700)] + [(2, "x"), (2, "a")]
+    df = spark.createDataFrame(rows, "g long, t string").repartition(5)
+    got = {(r["g"], r["t"]): r["n"] for r in src.ranked_within(df, "g", ["t"], "n").collect()}
+    assert got == {**{(1, f"t{i:04d}"): i + 1 for i in range(700)}, (2, "a"): 1, (2, "x"): 2}
+
+
+def test_other_sources_keep_a_type(spark, tmp_path):
+    df = spark.createDataFrame([(0, "a", "en", "src4"), (1, "b", "en", "web"), (2, "c", "en", None)], "doc_id long, text string, lang string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["docid"]: r["doctype"] for r in src.corpus(spark, str(tmp_path)).collect()} == {1: 5, 2: src.OTHER, 3: src.OTHER}
+
+
+def test_parameters_give_way_to_defaults():
+    P = catalog.Page
+    assert P.asked(None, "a b", "x:y", "ten") == P(None, "doctype", "", 100)
+    assert P.asked("1", "-title", "x:1:2", "7") == P("1", "-title", "x:1:2", 7)
+    with pytest.raises(ValueError):
+        P(order_by="a b")
+    with pytest.raises(ValueError):
+        P(limit=-1)
+
+
+def test_typed_metadata(spark):
+    docs = spark.createDataFrame([(1, 2, "x", {"title": 'a "b"', "n": "12", "zip": "007", "z": "-", "e": ""})], src.SCHEMA)
+    text = catalog.metadata(docs).select(catalog.typed(F.col("meta"))).first()[0]
+    got = json.loads("{" + text + "}")
+    assert list(got) == ["title", "characters", "docid", "doctype", "n", "z", "zip"]
+    assert got == {"title": 'a "b"', "characters": 1, "docid": 2, "doctype": 1, "n": 12, "z": "-", "zip": "007"}
+    assert [r["key"] for r in catalog.field_list(docs).orderBy("place").collect()] == ["title", "characters", "docid", "doctype", "n", "z", "zip"]

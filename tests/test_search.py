@@ -104,3 +104,58 @@ def test_both_ways_of_joining_agree(spark, monkeypatch):
     a = sorted(map(tuple, search.candidates(docs, docs, MatchConfig()).collect()))
     monkeypatch.setattr(search, "small_hashes", lambda q, limit=0: None)
     assert sorted(map(tuple, search.candidates(docs, docs, MatchConfig()).collect())) == a
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_runs_of_windows_tally_alike(spark, strict):
+    """Texts of shared and repeated parts, also far into a text and across positions that are alike modulo 256."""
+    rng = random.Random(17)
+    parts = ["".join(rng.choice("abcdef ") for _ in range(rng.randrange(5, 40))) for _ in range(9)]
+    rows = [(1 + i % 3, i, "".join(rng.choice(parts) for _ in range(rng.randrange(1, 30)))) for i in range(1, 40)]
+    rows += [(4, 1, rows[0][2] * 12), (4, 2, "x" * 300 + rows[3][2]), (5, 1, None), (5, 2, "short")]
+    docs = documents(spark, rows)
+    config = MatchConfig(window=10, posting=6, blank=4, strict=strict)
+    for query, target in ((docs, None), (docs.filter("doctype < 3"), "2-5")):
+        want = sorted(map(tuple, search.tallies(search.hits(query, docs, config, target), config).collect()))
+        got = search.run_tallies(query, docs, config, target).select("q_doctype", "q_docid", "doctype", "docid", "tally")
+        assert want and sorted(map(tuple, got.collect())) == want
+
+
+def test_runs_of_windows_bear_empty_tables(spark):
+    docs = documents(spark, [(1, 1, "a text that is long enough to have some windows in it")])
+    assert search.run_tallies(docs.filter("false"), docs, MatchConfig()).count() == 0
+    assert search.run_tallies(docs, docs.filter("false"), MatchConfig()).count() == 0
+    assert associate.search(docs, docs, MatchConfig(), many=True).count() == 0
+
+
+def test_slices_find_what_one_pass_finds(spark):
+    """Many candidates whose windows are shared in another order, so none of the first is verified."""
+    words = [f"{'abcdefghij'[i]}{i}xyzwv{i}{'klmnopqrst'[i]}" for i in range(10)]
+    config = MatchConfig(window=24, posting=8, results=2)
+    rng = random.Random(2)
+    rows = [(1, 1, " ".join(words))]
+    for i in range(2, 60):
+        mixed = words[:] * 2
+        rng.shuffle(mixed)
+        rows.append((1, i, "  ".join(mixed)))
+    rows += [(2, 1, f"only {words[3]} {words[4]} here"), (2, 2, f"also {words[5]} {words[6]} there")]
+    docs = documents(spark, rows)
+    query = docs.filter("doctype = 1 and docid = 1")
+    every = associate.verified(search.candidates(query, docs, config).drop("place"), query, docs, config)
+    want = sorted((-r["tally"], r["doctype"], r["docid"]) for r in every.collect())[:2]
+    got = sorted((-r["tally"], r["doctype"], r["docid"]) for r in associate.search(query, docs, config).collect())
+    assert got == want
+
+
+def test_counts_of_windows(spark):
+    from palimpsest.operators.fingerprint import fingerprints
+
+    rng = random.Random(9)
+    docs = documents(spark, [(1, i, "".join(rng.choice("ab   ") for _ in range(rng.randrange(0, 90)))) for i in range(1, 30)] + [(2, 1, None)])
+    config = MatchConfig(window=12, posting=6)
+    got = {(r["doctype"], r["docid"]): (r["n_windows"] - r["n_blank"], r["n_distinct"]) for r in index.windows(docs, config).collect()}
+    all_, once = (defaultdict(int), defaultdict(int))
+    for counts, distinct in ((all_, False), (once, True)):
+        for r in fingerprints(docs, config, distinct=distinct).collect():
+            counts[r["doctype"], r["docid"]] += 1
+    assert got == {k: (all_[k], once[k]) for k in got} and len(got) == 30
