@@ -13,12 +13,19 @@ from pyspark.sql import Window
 
 #: Salts of a two-level rank; each (group, salt) is sorted by one task.
 RANK_SALTS = 64
+#: Bytes that Catalyst expects in a partition, below which neighbouring partitions are written as one file; and the
+#: least number of files that a written table keeps for the tasks that read it.
+FILE_BYTES = 32 << 20
+LEAST_FILES = 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (local tests), a new temporary one."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a new temporary one, if all of Spark runs on this
+    machine (tests); on a cluster that is an error, as executors would not see the folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='palimpsest-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -31,6 +38,16 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def compacted(df: DataFrame) -> DataFrame:
+    """`df` in no more partitions than its size asks for, without a shuffle; they are written as so many files.
+
+    Hundreds of tiny partitions otherwise become as many files, and making a file costs a process on some file
+    systems. Catalyst expects too much of joins rather than too little, so what may be large stays as it is."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(int(min((1 << 31) - 1, max(LEAST_FILES, 4 * spark.sparkContext.defaultParallelism, -(-size // FILE_BYTES)))))
+
+
 class Workspace:
     """Written tables of one operator run. They cut lineage and survive lost executors.
 
@@ -54,7 +71,7 @@ class Workspace:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.mode("overwrite").parquet(path)
+        compacted(df).write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
