@@ -8,11 +8,17 @@ instead of all pairs, which leaves connectivity as it is. Copies share a fingerp
 
 Cost: the number of tile pairs grows with the square of the number of *distinct* fingerprints, less what the
 population counts rule out; the shuffle carries each fingerprint once per partner tile.
+
+`deduplicate` finds near-duplicates by the similarity of shingle sets. SimHashes of 1024 bits compared in the same way
+give candidates, with a radius that a pair at the similarity exceeds once in millions, and every link is then verified
+on the shingles themselves. Links of near neighbours come first; what they connect is one group in the second round,
+in which candidates between groups are compared block by block, so no group of copies meets itself again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +43,12 @@ TILE_WORDS = 1 << 24
 BLOCK = 1024
 #: Rows of such a comparison whose counts are held at once.
 STRIP = 128
+#: Rows of a block of candidates; the shingles of two such blocks are verified at once.
+VERIFY_BLOCK = 256
+#: Bytes of a shingle's hash that tell it from others when links are verified.
+HASH_BYTES = 5
+#: Columns of one matrix of documents by shingles.
+COLUMNS = 8192
 _MASK16 = np.uint64(0xFFFF)
 
 
@@ -191,9 +203,49 @@ def forest(values: np.ndarray, split: int | None, radius: int, block: int = BLOC
     return child, label[child]
 
 
-def links(ws: Workspace, distinct: DataFrame, name: str, radius: int = RADIUS, words: int = 1, tiles: int | None = None) -> DataFrame:
-    """(u, v): links that connect the same rows as all pairs of `distinct` (rep long, fp binary, each fp once)
-    within `radius` do."""
+def near_links(values: np.ndarray, split: int | None, radius: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Like `forest`, but pairs that are themselves within `radius`: a row's links to its nearest come first within a
+    block of comparisons, and links that close a ring are left out."""
+    n = len(values)
+    label = np.arange(n)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for u, v in _block_pairs(values, split, radius, block):
+        apart = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(values[u[x : x + block]] ^ values[v[x : x + block]]).sum(axis=1, dtype=np.int64) for x in range(0, len(u), block))])
+        while True:
+            high, low = np.maximum(label[u], label[v]), np.minimum(label[u], label[v])
+            differ = high != low
+            if not differ.any():
+                break
+            u, v, apart, high, low = u[differ], v[differ], apart[differ], high[differ], low[differ]
+            order = np.lexsort((low, apart, high))
+            first = order[np.concatenate([[True], np.diff(high[order]) != 0])]
+            out.append((u[first], v[first]))  # each group hangs under a smaller one by one link
+            label[high[first]] = low[first]
+            while not (label[label] == label).all():
+                label = label[label]
+    empty = np.zeros(0, np.int64)
+    return np.concatenate([empty, *(u for u, _ in out)]), np.concatenate([empty, *(v for _, v in out)])
+
+
+def _block_pairs(values: np.ndarray, split: int | None, radius: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within `radius`, by blocks, as in `forest`; u < v."""
+    n = len(values)
+    cuts = lambda lo, hi: [(x, min(x + block, hi)) for x in range(lo, hi, block)]
+    left = cuts(0, n if split is None else split)
+    right = left if split is None else cuts(split, n)
+    boxes = {s: (q.min(axis=0), q.max(axis=0)) for s in {*left, *right} for q in (_quarters(values[s[0] : s[1]]),)}
+    for i, a in enumerate(left):
+        for b in right[i if split is None else 0 :]:
+            if _gap(*boxes[a], *boxes[b]) > radius:
+                continue
+            u, v = _near(values[a[0] : a[1]], values[b[0] : b[1]], radius)
+            u, v = u + a[0], v + b[0]
+            yield (u[u < v], v[u < v]) if a == b else (u, v)
+
+
+def _tile_table(ws: Workspace, distinct: DataFrame, name: str, radius: int, words: int, tiles: int | None) -> DataFrame:
+    """`distinct` (rep long, fp binary, each fp once) with its tile and, a row for each, the pairs of tiles that may hold
+    links within the radius: (rep, fp, tile, pair)."""
     step = 2 * words  # bytes in a quarter of the bits; a word's quarters for a single word
     count = lambda i: sum((F.bit_count(F.conv(F.hex(F.substring("fp", i * step + k + 1, 1)), 16, 10).cast("int")) for k in range(step)), F.lit(0))
     ordered = distinct.select("rep", "fp", *[count(i).alias(f"q{i}") for i in range(4)])
@@ -217,16 +269,29 @@ def links(ws: Workspace, distinct: DataFrame, name: str, radius: int = RADIUS, w
                 if b != a:
                     partners[b].append(pair)
     table = ws.spark.createDataFrame([(t, p) for t, ps in partners.items() for p in ps], "tile int, pair int")
-    dealt = tiled.select("rep", "fp", "tile").join(F.broadcast(table), "tile", "inner")
+    return tiled.select("rep", "fp", "tile").join(F.broadcast(table), "tile", "inner")
+
+
+def _unpacked(group: pa.Table, words: int) -> tuple[np.ndarray, int | None, np.ndarray]:
+    """(fingerprints, where the second tile begins, order of the group's rows) of a pair of tiles. In a tile, rows with
+    close counts lie together."""
+    tile, rep = group.column("tile").to_numpy(), group.column("rep").to_numpy()
+    fp = np.frombuffer(b"".join(group.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
+    q = _quarters(fp)
+    order = np.lexsort((rep, fp[:, 0], q[:, 3], q[:, 2], q[:, 1], q[:, 0], tile))
+    split = int(np.searchsorted(tile[order], tile[order][0], "right"))
+    return fp[order], None if split == len(fp) else split, order
+
+
+def links(ws: Workspace, distinct: DataFrame, name: str, radius: int = RADIUS, words: int = 1, tiles: int | None = None) -> DataFrame:
+    """(u, v): links that connect the same rows as all pairs of `distinct` (rep long, fp binary, each fp once)
+    within `radius` do."""
+    dealt = _tile_table(ws, distinct, name, radius, words, tiles)
 
     def compare(group: pa.Table) -> pa.Table:
-        tile, rep = group.column("tile").to_numpy(), group.column("rep").to_numpy()
-        fp = np.frombuffer(b"".join(group.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
-        q = _quarters(fp)
-        order = np.lexsort((rep, fp[:, 0], q[:, 3], q[:, 2], q[:, 1], q[:, 0], tile))  # in a tile, close counts together
-        tile, fp, rep = tile[order], fp[order], rep[order]
-        split = int(np.searchsorted(tile, tile[0], "right"))
-        child, root = forest(fp, None if split == len(fp) else split, radius)
+        fp, split, order = _unpacked(group, words)
+        rep = group.column("rep").to_numpy()[order]
+        child, root = forest(fp, split, radius)
         return pa.table({"u": pa.array(rep[child]), "v": pa.array(rep[root])})
 
     return dealt.groupBy("pair").applyInArrow(compare, "u long, v long")
@@ -257,22 +322,167 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     return joined.select(F.col("k").alias(key), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def radius_for(similarity: float, words: int, slack: float = 2.0) -> int:
-    """Bits of 64 * words in which shingle sets of equal size at this Jaccard similarity differ, plus `slack`
-    standard deviations."""
+def differ(shared: int, left: int, right: int) -> float:
+    """How likely a bit of the SimHashes of two sets differs that share so many elements and have so many of their own:
+    each hash has the bit with probability a half, and the bit is set in the SimHash if over half of the hashes have it."""
+    pascal = lambda n: np.array([comb(n, i) for i in range(n + 1)], float) / 2.0**n
+    s, x, y = pascal(shared), pascal(left), pascal(right)
+    at = np.arange(shared + 1)
+    over = lambda own, p: np.array([p[2 * (k + np.arange(own + 1)) > shared + own].sum() for k in at])
+    a, b = over(left, x), over(right, y)
+    return float((s * (a * (1 - b) + b * (1 - a))).sum())
+
+
+def radius_for(similarity: float, words: int, slack: float = 5.0) -> int:
+    """Bits of 64 * words in which sets of this Jaccard similarity or more differ at most, plus `slack` standard
+    deviations: of sets of any size, of which small ones differ in more bits than the angle between them tells."""
     shared = 2 * similarity / (1 + similarity)
-    p = float(np.arccos(shared) / np.pi)
+    worst = float(np.arccos(min(1.0, shared)) / np.pi)
+    for s in range(1, 40):
+        own = int(s / similarity - s + 1e-9)  # elements that one of them alone has, in all
+        worst = max([worst, *(differ(s, x, own - x) for x in range(own // 2 + 1))])
     n = 64 * words
-    return int(np.ceil(n * p + slack * (n * p * (1 - p)) ** 0.5))
+    return int(np.ceil(n * worst + slack * (n * worst * (1 - worst)) ** 0.5))
+
+
+def shingle_sets(df: DataFrame, size: int, words: int) -> DataFrame:
+    """(r, k, t) to (r, k, fp, cid, sh): the SimHash of a text's distinct shingles, a digest of their set, and the set:
+    HASH_BYTES of each shingle's hash, in order."""
+    names = ["r", "k", "fp", "cid", "sh"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list[bytes]] = [[], [], []]
+            for t in b.column(2):
+                tokens = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+                once = np.unique(np.concatenate(list(_hashes(tokens, size)))) if tokens else np.zeros(0, np.uint64)
+                out[0].append(_bits(once, words).astype(">u8").tobytes())
+                out[1].append(xxhash.xxh3_128_digest(once.tobytes()))
+                out[2].append(np.ascontiguousarray(once.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.binary()) for x in out)], names=names)
+
+    return df.select("r", "k", "t").mapInArrow(run, "r long, k long, fp binary, cid binary, sh binary")
+
+
+def _bits(once: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of hashes."""
+    total = np.zeros(64 * words, np.int64)
+    for at in range(0, len(once), STEP):
+        hashes = once[at : at + STEP]
+        columns = np.stack([hashes, *(_mixed(hashes, k) for k in range(1, words))], axis=1)
+        bits = np.unpackbits(columns.astype("<u8", copy=False).view(np.uint8).reshape(len(hashes), 8 * words), axis=1, bitorder="little")
+        total += np.add.reduce(bits, axis=0, dtype=np.uint32)
+    return np.packbits(2 * total > len(once), bitorder="little").view("<u8").astype(np.uint64)
+
+
+def _set(data: bytes) -> np.ndarray:
+    """The numbers that HASH_BYTES each stand for, in order."""
+    raw = np.frombuffer(data, np.uint8).reshape(-1, HASH_BYTES)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, 8 - HASH_BYTES :] = raw
+    return wide.view(">u8")[:, 0].astype(np.uint64)
+
+
+def alike(shared, left, right, similarity: float):
+    """Whether sets of sizes left and right that share so many elements have the Jaccard similarity."""
+    return shared >= similarity * (left + right - shared) - 1e-9
+
+
+def verified_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (indexes) that connect the same sets as all pairs of the given Jaccard similarity do."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    row = np.repeat(np.arange(n), sizes)
+    _, column, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+    use = count[column] > 1
+    row, column = row[use], np.unique(column[use], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((n, n), np.float32)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, width, COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        part = np.zeros((n, min(COLUMNS, width - at)), np.float32)
+        part[row[lo:hi], column[lo:hi] - at] = 1
+        shared += part @ part.T
+    linked = alike(shared.astype(np.int64), sizes[:, None], sizes[None, :], similarity)
+    u, v = np.nonzero(np.triu(linked, 1))
+    label = np.arange(n)
+    while True:
+        high, low = np.maximum(label[u], label[v]), np.minimum(label[u], label[v])
+        if (high == low).all():
+            break
+        np.minimum.at(label, high, low)
+        while not (label[label] == label).all():
+            label = label[label]
+    child = np.flatnonzero(label != np.arange(n))
+    return child, label[child]
+
+
+def duplicate_groups(ws: Workspace, prints: DataFrame, similarity: float, words: int, tiles: int | None = None) -> DataFrame:
+    """(cid, component) of every class of equal shingle sets in `prints` (r, k, fp, cid, sh): the smallest r reachable
+    over pairs of sets at the similarity."""
+    classes = ws.table(prints.groupBy("cid").agg(F.min("r").alias("rep"), F.min("fp").alias("fp")), "classes")
+    close, wide = radius_for(similarity, words, 0.0), radius_for(similarity, words)
+    # Sets whose SimHashes are equal are compared too: a fingerprint need not be distinct here.
+    dealt = _tile_table(ws, classes.select("rep", "fp"), "tiles", wide, words, tiles)
+
+    def near(group: pa.Table) -> pa.Table:
+        fp, split, order = _unpacked(group, words)
+        rep = group.column("rep").to_numpy()[order]
+        u, v = near_links(fp, split, close)
+        return pa.table({"u": pa.array(rep[u]), "v": pa.array(rep[v])})
+
+    sets = prints.select("r", "sh")
+    first = ws.table(dealt.groupBy("pair").applyInArrow(near, "u long, v long").distinct(), "near")
+    both = first.join(sets.select(F.col("r").alias("u"), F.col("sh").alias("a")), "u").join(sets.select(F.col("r").alias("v"), F.col("sh").alias("b")), "v")
+
+    def true(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = _set(x.as_py()), _set(y.as_py())
+                keep.append(bool(alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), similarity)))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], names=["u", "v"])
+
+    sure = ws.table(both.select("u", "v", "a", "b").mapInArrow(true, "u long, v long"), "sure")
+    groups = ws.table(connected_components(ws, sure, "first"), "groups")
+    named = dealt.join(groups, F.col("rep") == F.col("node"), "left").select("rep", "fp", "tile", "pair", F.coalesce("component", "rep").alias("group"))
+
+    def between(group: pa.Table) -> pa.Table:
+        fp, split, order = _unpacked(group, words)
+        rep, name = (group.column(c).to_numpy()[order] for c in ("rep", "group"))
+        found: dict[tuple[int, int], set[int]] = {}
+        for u, v in _block_pairs(fp, split, wide, BLOCK):
+            other = name[u] != name[v]
+            u, v = u[other], v[other]
+            for a, b in np.unique(np.stack([u // VERIFY_BLOCK, v // VERIFY_BLOCK], axis=1), axis=0).tolist():
+                mine = (u // VERIFY_BLOCK == a) & (v // VERIFY_BLOCK == b)
+                found.setdefault((a, b), set()).update(rep[np.concatenate([u[mine], v[mine]])].tolist())
+        pair = group.column("pair")[0].as_py()
+        rows = [(pair, a, b, r) for (a, b), rs in found.items() for r in sorted(rs)]
+        return pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["p", "a", "b", "r"])
+
+    involved = ws.table(named.groupBy("pair").applyInArrow(between, "p long, a long, b long, r long"), "involved")
+
+    def verify(group: pa.Table) -> pa.Table:
+        rep = group.column("r").to_numpy()
+        child, root = verified_links([_set(x.as_py()) for x in group.column("sh")], similarity)
+        return pa.table({"u": pa.array(rep[child]), "v": pa.array(rep[root])})
+
+    more = ws.table(involved.join(sets, "r").groupBy("p", "a", "b").applyInArrow(verify, "u long, v long"), "more")
+    found = connected_components(ws, sure.unionByName(more), "rounds")
+    return classes.join(found, F.col("rep") == F.col("node"), "left").select("cid", F.coalesce("component", "rep").alias("component"))
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, size: int = 5, words: int = 16) -> DataFrame:
     """The rows of `df` without near-duplicates: of each component the row with the smallest key stays.
 
-    Texts link when SimHashes of their distinct `size`-word shingles, `words` 64-bit words wide, are within the distance that
-    shingle sets of the given Jaccard similarity have: nearly every pair at or above it links, and pairs far below
-    never do. Rows with a null key stay as they are, having no name to be compared by; of rows that repeat the kept
-    key, one stays. Texts without words count as copies of each other.
+    Texts link when their sets of `size`-word shingles have the given Jaccard similarity or more: candidates come from
+    SimHashes, `words` 64-bit words wide, and each link is verified on the sets, so none is false, and one at the
+    similarity is missed once in millions. Rows with a null key stay as they are, having no name to be compared by; of
+    rows that repeat the kept key, one stays. Texts without words, null ones too, are copies of each other; very long
+    texts are compared whole; other columns pass through; an empty table gives an empty one.
     """
     spark = df.sparkSession
     ws = Workspace(spark, "simhash-keep")
@@ -280,8 +490,8 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", similari
     # Written once with its row numbers, so they stay the same however often tasks run.
     base = ws.table(df.withColumn(rid, F.monotonically_increasing_id()), "rows")
     pick = base.select(F.col(rid).alias("r"), F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter(F.col("k").isNotNull())
-    prints = ws.table(fingerprints(pick, "t", size=size, words=words, distinct=True), "prints")
-    found = components(ws, prints, "k", radius_for(similarity, words), words)
-    best = skew_join(prints, found, ["fp"], "inner").groupBy("component").agg(F.min_by("r", F.struct("k", "r")).alias(rid))
-    kept = base.join(best.select(rid), rid, "left_semi")
+    prints = ws.table(shingle_sets(pick, size, words), "prints")
+    found = duplicate_groups(ws, prints, similarity, words)
+    best = skew_join(prints.select("r", "k", "cid"), found, ["cid"], "inner").groupBy("component").agg(F.min(F.struct("k", "r")).alias("first")).select(F.col("first.r").alias(rid))
+    kept = base.join(best, rid, "left_semi")
     return kept.unionByName(base.filter(F.col(key).isNull())).drop(rid)

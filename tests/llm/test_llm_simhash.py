@@ -146,20 +146,76 @@ def test_deduplicate(spark, crowd):
     assert got == sorted([None, None, 3000, *(g * 10 + 5 for g in range(40)), *range(2000, 2020)], key=str)
 
 
+def components_by_sets(rows, limit=0.8):
+    """The smallest key of each key's component over all pairs of the similarity, by brute force."""
+    sets = {k: set(shingles(t, 5)) for k, t in rows}
+    linked = [(a, b) for a, b in combinations(sorted(sets), 2) if (len(sets[a] & sets[b]) >= limit * len(sets[a] | sets[b]) - 1e-9)]
+    return smallest(sorted(sets), linked)
+
+
 def test_deduplicate_whole_table(documents, document_rows):
-    texts = dict(document_rows)
+    """No link at the similarity is missed, and none below it is made."""
     kept = {r["doc_id"] for r in simhash.deduplicate(documents).select("doc_id").collect()}
-    sets = {k: set(shingles(t, 5)) for k, t in texts.items()}
-    score = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) if sets[a] | sets[b] else 1.0
-    for a, b in combinations(sorted(kept), 2):
-        assert score(a, b) < 0.85
-    for a in texts.keys() - kept:
-        assert max(score(a, b) for b in texts if b != a) >= 0.65
+    assert kept == set(components_by_sets(document_rows).values())
+
+
+@pytest.mark.parametrize("tiles", [1, 5])
+def test_links_are_those_of_the_sets(spark, monkeypatch, tiles):
+    """Families around the similarity, of short and long texts, that no SimHash tells apart; blocks of few rows."""
+    monkeypatch.setattr(simhash, "VERIFY_BLOCK", 16)
+    monkeypatch.setattr(simhash, "COLUMNS", 50)
+    rng = np.random.default_rng(tiles)
+    rows = []
+    for g in range(60):
+        n = int(rng.integers(5, 24)) if g % 3 == 0 else int(rng.integers(30, 200))
+        words = [f"w{i}" for i in rng.integers(0, 5000, n)]
+        for _ in range(6):
+            other = words.copy()
+            for at in rng.choice(n, int(rng.integers(0, max(2, n // 25))), replace=False):
+                other[at] = f"x{rng.integers(0, 9)}"
+            cut = int(rng.integers(0, max(1, n // 6)))
+            rows.append((len(rows), " ".join(other[cut:])))
+    want = components_by_sets(rows)
+    assert 60 < len(set(want.values())) < len(rows) - 60
+    ws = Workspace(spark, "simhash-test")
+    df = spark.createDataFrame([(k, k, t) for k, t in rows], "r long, k long, t string")
+    prints = ws.table(simhash.shingle_sets(df, 5, 16), "prints")
+    found = simhash.duplicate_groups(ws, prints, 0.8, 16, tiles)
+    got = {r["k"]: r["component"] for r in prints.join(found, "cid").select("k", "component").collect()}
+    assert got == want
+
+
+def test_verified_links_against_all_pairs(monkeypatch):
+    monkeypatch.setattr(simhash, "COLUMNS", 7)
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 40, 40).astype(np.uint64)
+    sets = [np.unique(pool[rng.choice(40, int(rng.integers(0, 12)), replace=False)]) for _ in range(80)]
+    want = smallest(range(80), [(i, j) for i, j in combinations(range(80), 2) if len(set(sets[i]) & set(sets[j])) >= 0.5 * len(set(sets[i]) | set(sets[j]))])
+    child, root = simhash.verified_links(sets, 0.5)
+    assert smallest(range(80), zip(child.tolist(), root.tolist(), strict=True)) == want
+    assert [len(x) for x in simhash.verified_links([], 0.5)] == [0, 0]
+
+
+def test_sets_are_kept_whole():
+    hashes = np.unique(np.random.default_rng(1).integers(0, 1 << 64, 1000, dtype=np.uint64))
+    packed = np.ascontiguousarray(hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, : simhash.HASH_BYTES]).tobytes()
+    assert (simhash._set(packed) == hashes >> np.uint64(64 - 8 * simhash.HASH_BYTES)).all() and len(simhash._set(b"")) == 0
+
+
+@pytest.mark.parametrize("shared, left, right", [(4, 1, 0), (8, 1, 1), (16, 2, 2), (100, 13, 12), (1, 0, 0)])
+def test_bits_that_differ(shared, left, right):
+    rng = np.random.default_rng(shared)
+    s, x, y = (rng.integers(0, 2, (n, 200_000)).sum(axis=0) for n in (shared, left, right))
+    got = ((2 * (s + x) > shared + left) != (2 * (s + y) > shared + right)).mean()
+    assert simhash.differ(shared, left, right) == pytest.approx(got, abs=0.004)
 
 
-@pytest.mark.parametrize("similarity_, words, radius", [(1.0, 8, 0), (0.8, 8, 94), (0.8, 16, 179)])
-def test_radius(similarity_, words, radius):
-    assert simhash.radius_for(similarity_, words) == radius
+def test_radius():
+    assert simhash.radius_for(1.0, 8) == 0
+    mean = 1024 * simhash.differ(4, 1, 0)  # the worst that sets of this similarity come to
+    assert simhash.radius_for(0.8, 16, 0.0) == mean and simhash.radius_for(0.8, 16) == np.ceil(mean + 5 * (mean * (1 - mean / 1024)) ** 0.5)
+    large = 1024 * np.arccos(0.8 * 2 / 1.8) / np.pi
+    assert simhash.radius_for(0.8, 16) > large + 5 * (large * (1 - large / 1024)) ** 0.5
 
 
 def test_deduplicate_counts_repeated_lines_once(spark):
@@ -199,3 +255,17 @@ def test_near_counts_all_words():
     assert sorted(zip(u.tolist(), v.tolist(), strict=True)) == want
     child, root = simhash.forest(np.concatenate([a, b]), 300, radius)
     assert list(zip(root.tolist(), (child - 300).tolist(), strict=True)) == want
+    u, v = simhash.near_links(np.concatenate([a, b]), 300, radius)
+    assert sorted(zip(u.tolist(), (v - 300).tolist(), strict=True)) == want
+
+
+@pytest.mark.parametrize("split", [None, 40])
+def test_near_links_are_links(split):
+    rng = np.random.default_rng(12)
+    values = (rng.integers(0, 1 << 9, (90, 1)).astype(np.uint64) << np.uint64(20)) | np.uint64(7)
+    apart = lambda i, j: bin(int(values[i, 0] ^ values[j, 0])).count("1")
+    ok = lambda i, j: (split is None or (i < split) != (j < split)) and apart(i, j) <= 1
+    u, v = (x.tolist() for x in simhash.near_links(values, split, 1, 16))
+    assert all(ok(i, j) for i, j in zip(u, v, strict=True))
+    want = smallest(range(90), [p for p in combinations(range(90), 2) if ok(*p)])
+    assert smallest(range(90), zip(u, v, strict=True)) == want and len(u) == 90 - len(set(want.values()))
