@@ -160,8 +160,8 @@ def decode_documents(df: DataFrame, path: str, pattern: str, key: str = "doc_id"
 def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_tokens, ids_sha256, decoded_sha256 after encoding the whole text and decoding its ids.
 
-    Null texts count as empty: no tokens, and the digests of nothing. Repeated rows are encoded alike, null keys
-    are passed on, other columns are ignored, and an empty table gives an empty one.
+    Null texts count as empty: no tokens, and the digests of nothing. Very long texts are encoded whole, in slices of
+    pre-tokens. Repeated rows are encoded alike, null keys are passed on, other columns are ignored, and an empty table gives an empty one.
     """
     picked = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
     names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]

@@ -3,7 +3,8 @@
 Pages become WARC records, each a gzip member of its own; one of each group of equal payloads is kept as a response,
 the others refer to it. The index sorts captures by reversed-host URL keys into compressed blocks. Every part of it
 ends with a sparse directory of its blocks; a master list, one row for each part, is small. A look-up searches the
-master list and a directory by bisection, reads one block by its range, and then one record by its range.
+master list and a directory by bisection, reads one block by its range, and then one record by its range. All records
+are read back in this way, responses and revisits; `captures` reads archives that have no index from front to back.
 
 Files lie in the cluster's shared folder and are opened through pyarrow's file systems. Every attempt of a task
 writes a file of a new name, and only rows of finished attempts name files, so a lost executor leaves no wrong rows.
@@ -35,6 +36,8 @@ BLOCK_LINES = 1000
 #: Parts of an index at most; the master list has one row for each.
 MAX_PARTS = 1024
 CHUNK = 1 << 20
+#: Bytes of payloads in a batch of looked-up records, but for the last.
+BATCH_BYTES = 8 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n\r\n"
@@ -45,10 +48,34 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
 
 
+class Ranges:
+    """Reads files by ranges; those last used stay open."""
+
+    KEPT = 32
+
+    def __init__(self) -> None:
+        self.open: OrderedDict[str, pa.NativeFile] = OrderedDict()
+
+    def read(self, path: str, offset: int, length: int) -> bytes:
+        if path not in self.open:
+            fs, p = opened(path)
+            self.open[path] = fs.open_input_file(p)
+            if len(self.open) > self.KEPT:
+                self.open.popitem(last=False)[1].close()
+        self.open.move_to_end(path)
+        return self.open[path].read_at(length, offset)
+
+    def close(self) -> None:
+        while self.open:
+            self.open.popitem()[1].close()
+
+
 def read_range(path: str, offset: int, length: int) -> bytes:
-    fs, p = opened(path)
-    with fs.open_input_file(p) as f:
-        return f.read_at(length, offset)
+    ranges = Ranges()
+    try:
+        return ranges.read(path, offset, length)
+    finally:
+        ranges.close()
 
 
 def surt(url: str | None) -> str:
@@ -156,13 +183,31 @@ def read_archive(path: str) -> Iterator[tuple[int, int, Record]]:
 CAPTURE = "page_id long, url string, key binary, file string, offset long, length long, record_type string, digest string, payload_bytes long, refers_to long, refers_url string"
 
 
+_CAPTURED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("key", pa.binary()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_type", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("refers_url", pa.string())])
+#: Captures in a batch of rows.
+ROWS = 1000
+
+
+def _captured(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_CAPTURED)], schema=_CAPTURED)
+
+
+def steady(ws: Workspace, df: DataFrame) -> DataFrame:
+    """`df` if it is read straight from files or the driver, so that its rows have the same places each time; else a
+    written copy."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    kinds = {re.sub(r"^[\s:+\-]*", "", line).split(" ")[0].split("[")[0] for line in plan.splitlines() if line.strip()}
+    return df if kinds <= {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD"} else ws.table(df, "pages")
+
+
 def write_archives(ws: Workspace, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """(file): the archives that hold a record for each row of `pages` (page_id, url, html), one for each task.
+    """A row of CAPTURE for each record written: archives hold a record for each row of `pages` (page_id, url, html), one
+    archive for each task.
 
     Of rows with equal payloads of at least `min_bytes` bytes, that with the smallest page_id (of repeated rows one)
-    is a response and the others are revisits of it; a null page_id comes after all others. `pages` must be a table
-    that is read alike each time.
+    is a response and the others are revisits of it; a null page_id comes after all others.
     """
+    pages = steady(ws, pages.select("page_id", "url", "html"))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload"),
         F.monotonically_increasing_id().alias("row")).withColumn("digest", F.sha1("payload"))
@@ -174,7 +219,8 @@ def write_archives(ws: Workspace, pages: DataFrame, min_bytes: int = 0) -> DataF
     folder = ws.path("archives")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, path = None, ""
+        stream, path, at = None, "", 0
+        out: list[tuple] = []
         for b in batches:
             for i in range(b.num_rows):
                 page_id, url, payload, again, to_id, to_url = (b.column(c)[i].as_py() for c in range(6))
@@ -183,21 +229,28 @@ def write_archives(ws: Workspace, pages: DataFrame, min_bytes: int = 0) -> DataF
                     fs.create_dir(base, recursive=True)
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     path, stream = f"{folder}/{name}", fs.open_output_stream(f"{base}/{name}", compression=None)
-                stream.write(record(page_id, url, payload, (to_id, to_url) if again else None))
+                data = record(page_id, url, payload, (to_id, to_url) if again else None)
+                stream.write(data)
+                shown = _header(url) if url is not None else None
+                to = (to_id, _header(to_url) if to_url is not None else None) if again else (None, None)
+                out.append((page_id, shown, capture_key(shown, page_id), path, at, len(data), "revisit" if again else "response", base32(payload), None if again else len(payload), *to))
+                at += len(data)
+                if len(out) == ROWS:
+                    yield _captured(out)
+                    out = []
         if stream is not None:
             stream.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path])], names=["file"])
+        if out:
+            yield _captured(out)
 
-    return ws.table(ready.mapInArrow(run, "file string"), "files")
+    return ws.table(ready.mapInArrow(run, CAPTURE), "written")
 
 
 def captures(files: DataFrame) -> DataFrame:
-    """A row of CAPTURE for each record of the archives in `files` (file), read from front to back. The digest and
+    """A row of CAPTURE for each record of the archives that `files` (file) names, read from front to back. The digest and
     size of a response are those of the payload read; a revisit has its header's digest and no size."""
-    names = [x.split()[0] for x in CAPTURE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("key", pa.binary()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_type", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("refers_url", pa.string())])
         for b in batches:
             for path in b.column(0).to_pylist():
                 out: list[tuple] = []
@@ -207,14 +260,13 @@ def captures(files: DataFrame) -> DataFrame:
                     if full and digest != r.digest:
                         raise ValueError(f"a payload of {path} does not match its digest")
                     out.append((r.page_id, r.url, capture_key(r.url, r.page_id), path, at, length, r.type, digest, len(r.payload) if full else None, r.refers_to, r.refers_url))
-                    if len(out) == 1000:
-                        yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], schema)
+                    if len(out) == ROWS:
+                        yield _captured(out)
                         out = []
                 if out:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], schema)
+                    yield _captured(out)
 
-    spread = files.repartition(max(1, min(files.count(), 4 * input_partitions(files))))
-    return spread.mapInArrow(run, CAPTURE)
+    return files.select("file").distinct().mapInArrow(run, CAPTURE)
 
 
 def write_index(ws: Workspace, found: DataFrame, name: str = "index", block_lines: int = BLOCK_LINES) -> list[tuple[bytes, bytes, str, int, int]]:
@@ -268,6 +320,7 @@ class CaptureIndex:
 
     def __init__(self, master: list[tuple[bytes, bytes, str, int, int]]):
         self.master = master
+        self.ranges = Ranges()
         self.lasts = [m[1] for m in master]
         self.directories: OrderedDict[str, list] = OrderedDict()
         self.blocks: OrderedDict[tuple[str, int], list[bytes]] = OrderedDict()
@@ -282,10 +335,10 @@ class CaptureIndex:
 
     def _directory(self, part: tuple) -> list:
         _, _, file, at, size = part
-        return self._kept(self.directories, file, lambda: [(f.encode("latin-1"), *x) for f, *x in json.loads(gzip.decompress(read_range(file, at, size)))])
+        return self._kept(self.directories, file, lambda: [(f.encode("latin-1"), *x) for f, *x in json.loads(gzip.decompress(self.ranges.read(file, at, size)))])
 
     def _block(self, file: str, at: int, size: int) -> list[bytes]:
-        return self._kept(self.blocks, (file, at), lambda: gzip.decompress(read_range(file, at, size)).split(b"\n"))
+        return self._kept(self.blocks, (file, at), lambda: gzip.decompress(self.ranges.read(file, at, size)).split(b"\n"))
 
     def scan(self, low: bytes) -> Iterator[tuple[bytes, list]]:
         """(key, [page_id, file, offset, length, type, digest]) in order of keys, from the first key not below `low`."""
@@ -298,15 +351,17 @@ class CaptureIndex:
                     key, _, rest = line.partition(b"\t")
                     yield key, json.loads(rest)
 
-    def captures(self, url: str | None) -> list[list]:
-        """All captures of a URL, in order of page ids."""
+    def record(self, value: list) -> Record:
+        """The record of a capture, read by its range."""
+        return Record(gzip.decompress(self.ranges.read(*value[1:4])))
+
+    def captures(self, url: str | None) -> Iterator[list]:
+        """All captures of a URL, in order of page ids, one after the other."""
         prefix = capture_key(url, None)[:-1]
-        out = []
         for key, value in self.scan(prefix):
             if not key.startswith(prefix):
-                break
-            out.append(value)
-        return out
+                return
+            yield value
 
     def capture(self, url: str | None, page_id: int | None, kind: str | None = None, digest: str | None = None) -> list | None:
         """The first capture of a URL with a page id (of a type and of a payload, if given)."""
@@ -321,59 +376,83 @@ class CaptureIndex:
 
 def look_up(urls: DataFrame, master: list[tuple[bytes, bytes, str, int, int]], url: str = "url") -> DataFrame:
     """(url, page_id, record_type, payload binary) of every capture of every distinct URL in `urls`; a revisit has
-    no payload of its own. URLs are sorted by key first, so a task reads few blocks."""
+    no payload of its own. URLs are sorted by key first, so a task reads few blocks; one record is in memory at a time
+    but for those of a batch, which BATCH_BYTES bound."""
+    schema = pa.schema([("url", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = CaptureIndex(master)
+        out: list[tuple] = []
+        held = 0
         for b in batches:
             for u in sorted(b.column(0).to_pylist(), key=lambda x: capture_key(x, None)):
-                for page_id, file, offset, length, kind, _ in index.captures(u):
-                    r = read_record(file, offset, length)
-                    yield pa.RecordBatch.from_pylist([{"url": u, "page_id": page_id, "record_type": kind, "payload": r.payload}], pa.schema([("url", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("payload", pa.binary())]))
+                for value in index.captures(u):
+                    payload = index.record(value).payload
+                    out.append((u, value[0], value[4], payload))
+                    held += len(payload or b"")
+                    if len(out) == ROWS or held > BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+                        out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+        index.ranges.close()
 
     return urls.select(F.col(url).alias("url")).distinct().mapInArrow(run, "url string, page_id long, record_type string, payload binary")
 
 
-def resolved(found: DataFrame, master: list[tuple[bytes, bytes, str, int, int]]) -> DataFrame:
-    """Captures with the size and digest of the full payload: a revisit's are read from the response that it refers
-    to, found in the index by its URL and id and read by its range. Each response is read once in a row."""
+def read_back(found: DataFrame, master: list[tuple[bytes, bytes, str, int, int]]) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every capture in `found` (CAPTURE), from its
+    record, which is found in the index by URL, id, type and digest and read by its range. Size and digest are those of
+    the full payload: a revisit's are those of the response that it refers to, found and read in the same way, once for
+    many revisits in a row. A record that is not there, or has another payload, is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, known = CaptureIndex(master), OrderedDict()
+
+        def response(url: str | None, page_id: int | None, digest: str) -> tuple[int, Record]:
+            at = index.capture(url, page_id, "response", digest)
+            if at is None:
+                raise ValueError(f"the response {url} of {page_id} is not in the index")
+            r = index.record(at)
+            if base32(r.payload) != digest or r.digest != digest:
+                raise ValueError(f"the response {url} of {page_id} has another payload")
+            known[url, page_id, digest] = len(r.payload)
+            if len(known) > 10_000:
+                known.popitem(last=False)
+            return len(r.payload), r
+
         for b in batches:
-            c = {n: b.column(b.schema.get_field_index(n)) for n in b.schema.names}
-            sizes, digests = c["payload_bytes"].to_pylist(), c["digest"].to_pylist()
-            kinds, to_ids, to_urls = c["record_type"].to_pylist(), c["refers_to"].to_pylist(), c["refers_url"].to_pylist()
-            again = [i for i, k in enumerate(kinds) if k == "revisit"]
-            for i in sorted(again, key=lambda i: capture_key(to_urls[i], to_ids[i])):
-                target = (to_urls[i], to_ids[i], digests[i])
-                if target not in known:
-                    at = index.capture(to_urls[i], to_ids[i], "response", digests[i])
+            out: list[tuple] = []
+            for page_id, url, kind, digest in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+                if kind == "response":
+                    size, r = response(url, page_id, digest)
+                else:
+                    at = index.capture(url, page_id, kind, digest)
                     if at is None:
-                        raise ValueError(f"the response {target} is not in the index")
-                    payload = read_record(*at[1:4]).payload
-                    if base32(payload) != digests[i]:
-                        raise ValueError(f"the response {target} has another payload")
-                    known[target] = len(payload)
-                    if len(known) > 10_000:
-                        known.popitem(last=False)
-                sizes[i] = known[target]
-            yield pa.RecordBatch.from_arrays([c["page_id"], pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), c["record_type"], c["refers_to"]], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                        raise ValueError(f"the revisit {url} of {page_id} is not in the index")
+                    r = index.record(at)
+                    target = (r.refers_url, r.refers_to, r.digest)
+                    size = known[target] if target in known else response(*target)[0]
+                out.append((r.page_id, size, r.digest, r.type, r.refers_to))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        index.ranges.close()
 
-    return found.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # In the order of the index, so a task reads each block once.
+    laid = found.repartitionByRange(input_partitions(found), "key", "file", "offset").sortWithinPartitions("key")
+    return laid.select("page_id", "url", "record_type", "digest").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write `pages` (page_id, url, html) as archives, read them back, index them and resolve revisits.
+    """Write `pages` (page_id, url, html) as archives, index them and read every record back through the index.
 
     Per page: page_id, payload_bytes, payload_digest (base32 SHA-1), record_type and refers_to. Null html counts as
-    an empty payload, null URLs have an empty key; a row with a null page_id is a response only if its whole group
-    has none, and its revisits then refer to null; repeated rows revisit the first of them; other columns are
-    ignored; an empty table gives an empty one.
+    an empty payload, very long ones are written whole, null URLs have an empty key; a row with a null page_id is a
+    response only if its whole group has none, and its revisits then refer to null; repeated rows revisit the first of
+    them; other columns are ignored; an empty table gives an empty one.
     """
     ws = Workspace(pages.sparkSession, "warc")
-    found = ws.table(captures(write_archives(ws, pages, min_bytes)), "captures")
-    return resolved(found, write_index(ws, found))
+    written = write_archives(ws, pages, min_bytes)
+    return read_back(written, write_index(ws, written))
 
 
 #: `round_trip` of pages with ids, in DuckDB; base32 takes five bits at a time from two hexadecimal digits.
@@ -388,4 +467,4 @@ SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
 FROM hashed
 """
 
-__all__ = ["ORACLE", "CaptureIndex", "Record", "captures", "look_up", "read_archive", "record", "resolved", "round_trip", "surt", "write_archives", "write_index"]
+__all__ = ["ORACLE", "CaptureIndex", "Record", "captures", "look_up", "read_archive", "read_back", "record", "round_trip", "surt", "write_archives", "write_index"]
