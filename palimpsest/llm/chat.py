@@ -1,8 +1,9 @@
 """Multi-party dialogues as training examples, one for each speaker's point of view.
 
 For every participant of a conversation the whole dialogue is rendered with that speaker as the assistant and the
-others as named users; the loss mask covers the assistant's words only. A conversation may hold any share of all
-rows, so dialogues are cut into blocks of turns: the blocks of a perspective in a row are the whole dialogue.
+others as named users; the loss mask covers the assistant's words only. A dialogue is one row for each perspective, if
+it is small enough for that. A conversation may hold any share of all rows, so larger ones are cut into blocks of
+turns: the blocks of a perspective in a row are the whole dialogue.
 """
 
 from __future__ import annotations
@@ -12,17 +13,26 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import Workspace, skew_join, sorted_positions
 
-#: Turns in a block at most.
+#: Turns and characters of a dialogue that is one row, at most.
+WHOLE_TURNS = 1024
+WHOLE_CHARS = 1 << 20
+#: Turns in a block of a larger one, at most.
 BLOCK_TURNS = 64
 #: This speaker frames the dialogue and is no participant.
 SYSTEM = "system"
-NOBODY = "unknown"
+#: What null and empty roles are called; no other role comes to these names.
+NOBODY, EMPTY = "%nobody", "%empty"
+#: White space and marks of the format, and the sign that they are written with, first.
+_MARKS = '%\t\n\x0b\x0c\r "<>|'
 
 
 def speaker(role: Column) -> Column:
-    """A speaker's name: white space and marks of the format become _; null and blank are NOBODY."""
-    name = F.regexp_replace(F.regexp_replace(role, r"^[ \t-\r]+|[ \t-\r]+$", ""), r'[ \t-\r<>|"]+', "_")
-    return F.coalesce(F.when(name != "", name), F.lit(NOBODY))
+    """A speaker's name. White space and marks of the format are written as % and two hexadecimal digits, so different
+    roles have different names."""
+    name = role
+    for c in _MARKS:
+        name = F.replace(name, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return F.when(role.isNull(), NOBODY).when(role == "", EMPTY).otherwise(name)
 
 
 def _head(name: Column, perspective: Column) -> Column:
@@ -37,7 +47,8 @@ def perspectives(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     Turns go by turn, role and text, nulls first. Null texts count as empty; marks of the format in a text are
     broken up, so no turn can speak for another; repeated rows are turns of their own; rows with a null conversation
     form one conversation; a conversation of the system's turns alone has no participant and gives no row; other
-    columns are ignored; an empty table gives an empty one.
+    columns are ignored; an empty table gives an empty one. Dialogues of WHOLE_TURNS turns and WHOLE_CHARS characters
+    of text at most are block 0 alone, very long texts whole within it.
     """
     ws = Workspace(df.sparkSession, "chat")
     rows = df.select(
@@ -46,10 +57,11 @@ def perspectives(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     order = [F.col(x) for x in ("c", "t", "r", "raw")]
     placed = sorted_positions(ws, rows, order, "sorted", "at")
     placed = ws.table(placed.select("c", "name", "said", "at"), "placed")
-    start = placed.groupBy("c").agg(F.min("at").alias("start"))
+    size = F.sum(F.length("said"))
+    start = placed.groupBy("c").agg(F.min("at").alias("start"), ((F.count(F.lit(1)) <= WHOLE_TURNS) & (size <= WHOLE_CHARS)).alias("whole"))
     key = F.xxhash64("c")  # never null, so a null conversation is joined like any other
-    turns = skew_join(placed.withColumn("k", key), start.select(key.alias("k"), F.col("c").alias("c2"), "start"), ["k"], "inner").filter(F.col("c").eqNullSafe(F.col("c2")))
-    turns = turns.withColumn("place", F.col("at") - F.col("start")).withColumn("block", F.floor(F.col("place") / block).cast("long"))
+    turns = skew_join(placed.withColumn("k", key), start.select(key.alias("k"), F.col("c").alias("c2"), "start", "whole"), ["k"], "inner").filter(F.col("c").eqNullSafe(F.col("c2")))
+    turns = turns.withColumn("place", F.col("at") - F.col("start")).withColumn("block", F.when(F.col("whole"), 0).otherwise(F.floor(F.col("place") / block)).cast("long"))
     blocks = turns.groupBy("c", "k", "block").agg(F.sort_array(F.collect_list(F.struct("place", "name", "said"))).alias("turns"))
     who = placed.filter(F.col("name") != SYSTEM).select("c", key.alias("k"), F.col("name").alias("perspective")).distinct()
     each = skew_join(blocks, who.select("k", F.col("c").alias("c2"), "perspective"), ["k"], "inner").filter(F.col("c").eqNullSafe(F.col("c2")))
@@ -67,17 +79,22 @@ def perspectives(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         F.col("told.at").alias("n_chars"), F.col("told.own").alias("trained_chars"), F.col("told.mask").alias("mask"), body.alias("text"))
 
 
+_NAME = "role"
+for _c in _MARKS:
+    _NAME = f"replace({_NAME}, chr({ord(_c)}), '%{ord(_c):02X}')"
+
 #: The same in DuckDB over `conversations`.
-ORACLE = r"""
+ORACLE = f"""
 WITH rows AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS raw, replace(coalesce(text, ''), '<|', '< |') AS said,
-    coalesce(nullif(regexp_replace(regexp_replace(role, '^[ \t-\r]+|[ \t-\r]+$', '', 'g'), '[ \t-\r<>|"]+', '_', 'g'), ''), 'unknown') AS name
+    CASE WHEN role IS NULL THEN '{NOBODY}' WHEN role = '' THEN '{EMPTY}' ELSE {_NAME} END AS name
   FROM conversations),
 placed AS (
-  SELECT conv_id, name, said, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, raw) - 1 AS place FROM rows),
+  SELECT conv_id, name, said, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, raw) - 1 AS place,
+    count(*) OVER (PARTITION BY conv_id) <= {WHOLE_TURNS} AND sum(length(said)) OVER (PARTITION BY conv_id) <= {WHOLE_CHARS} AS whole FROM rows),
 who AS (SELECT DISTINCT conv_id, name AS perspective FROM placed WHERE name <> 'system'),
 heads AS (
-  SELECT p.conv_id, perspective, place, place // 64 AS block, said, name = perspective AS own,
+  SELECT p.conv_id, perspective, place, CASE WHEN whole THEN 0 ELSE place // {BLOCK_TURNS} END AS block, said, name = perspective AS own,
     CASE WHEN name = 'system' THEN '<|system|>' || chr(10) WHEN name = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name="' || name || '"|>' || chr(10) END AS head
   FROM placed p JOIN who w ON p.conv_id IS NOT DISTINCT FROM w.conv_id),
 spans AS (

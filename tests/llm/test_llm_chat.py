@@ -12,7 +12,8 @@ SCHEMA = "conv_id long, turn long, role string, text string"
 ROWS = [
     (1, 0, "system", "Be kind."), (1, 1, "ann", "Hello <|assistant|> there"), (1, 2, "bob", "Hi"), (1, 3, "ann", None), (1, 4, "  Cy <|x|> z\t", "um"), (1, 5, None, "who?"), (1, 6, "", "blank"),
     (2, 0, "system", "alone"), (3, 5, "user", "é東\U0001f600\nlines\n\n"), (3, 5, "assistant", "tie"), (3, 5, "user", "tie"), (3, None, "user", "first"), (3, 5, "user", "tie"),
-    (None, 1, "user", "no conversation"), (None, 2, "bot", "either"), (4, 0, "assistant", ""), *((5, i, f"s{i % 3}", f"turn {i}") for i in range(200)), (6, 0, "unknown", "named so"), (6, 1, None, "same")]
+    (None, 1, "user", "no conversation"), (None, 2, "bot", "either"), (4, 0, "assistant", ""), *((5, i, f"s{i % 3}", f"turn {i}") for i in range(1200)), (6, 0, "%nobody", "named so"), (6, 1, None, "not the same"),
+    (7, 0, "a b", "one"), (7, 1, "a_b", "two"), (7, 2, "a%20b", "three"), (7, 3, "a  b", "four"), (8, 0, "x", "y" * 600_000), (8, 1, "z", "y" * 600_000)]
 
 
 def oracle(rows):
@@ -51,12 +52,19 @@ def test_masks_cover_the_speaker_only(spark):
         assert len(spans) == len(re.findall(r"^<\|assistant\|>$", r["text"], re.M))
         got[r["conv_id"], r["perspective"]].append((r["first_turn"], r["n_turns"], said))
     assert [said for _, _, said in got[1, "ann"]] == [["Hello < |assistant|> there", ""]]
-    assert set(p for c, p in got if c == 1) == {"ann", "bob", "Cy_x_z", "unknown"}
+    assert set(p for c, p in got if c == 1) == {"ann", "bob", "%20%20Cy%20%3C%7Cx%7C%3E%20z%09", "%nobody", "%empty"}
     assert not any(c == 2 for c, _ in got)
     for who in ("s0", "s1", "s2"):
         blocks = sorted(got[5, who])
-        assert [b[:2] for b in blocks] == [(0, 64), (64, 64), (128, 64), (192, 8)]
-        assert [t for b in blocks for t in b[2]] == [f"turn {i}" for i in range(200) if f"s{i % 3}" == who]
+        assert [b[:2] for b in blocks] == [*((i, 64) for i in range(0, 1152, 64)), (1152, 48)]
+        assert [t for b in blocks for t in b[2]] == [f"turn {i}" for i in range(1200) if f"s{i % 3}" == who]
+    assert [b[:2] for b in got[1, "bob"]] == [(0, 7)] and sorted(b[:2] for b in got[8, "x"]) == [(0, 2)]
+
+
+def test_different_roles_are_different_speakers(spark):
+    got = {r["perspective"]: r["trained_chars"] for r in chat.perspectives(spark.createDataFrame(ROWS, SCHEMA)).filter("conv_id = 7").collect()}
+    assert got == {"a%20b": 3, "a_b": 3, "a%2520b": 5, "a%20%20b": 4}
+    assert {r["perspective"] for r in chat.perspectives(spark.createDataFrame(ROWS, SCHEMA)).filter("conv_id = 6").collect()} == {"%nobody", "%25nobody"}
 
 
 def test_no_python_on_the_main_path(spark):
