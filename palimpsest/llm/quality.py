@@ -10,17 +10,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import fenced
+from palimpsest.llm.common import fenced, skew_join
 
 #: Words are runs of anything but ASCII white space.
 SPACE = "[ \\t-\\r]+"
 SYMBOLS = "[^#*$%&|<>]+"
 BUCKETS = 1 << 14
-#: Trusted documents that fit the target multinomial, at most; those with the smallest hashes are taken.
-TRUSTED_ROWS = 20_000
-#: Strength of the target's prior, which is the corpus itself, in n-grams for each bucket: where the trusted
-#: documents have seen little, the ratio stays near 0, so few trusted rows do not condemn clean text.
+#: Trusted ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+#: Strength of the target's prior, which is the corpus itself: n-grams for each bucket, or this share of the target's
+#: own where that is more. Where the trusted documents have seen little, the ratio stays near 0, so few of them do not
+#: condemn clean text; and with more of them the ratios, and what the threshold asks for, stay alike at every size.
 PRIOR = 16
+PRIOR_SHARE = 0.1
 #: Least mean log ratio of a kept document.
 THRESHOLD = -0.06
 MIN_WORDS = 20
@@ -47,20 +49,21 @@ def buckets() -> Column:
     return F.concat(of("__h1"), of("__h2"))
 
 
-def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
-    """At most `rows` ids of documents labelled good, those with the smallest hashes."""
-    ids = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__id")).distinct()
-    return ids.orderBy(F.xxhash64("__id"), "__id").limit(rows)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """The ids of all documents labelled good."""
+    return labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("__id")).distinct()
 
 
 def log_ratios(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> list[float]:
     """Log ratio of each bucket, BUCKETS of them: trusted documents against all rows.
 
-    Every n-gram of every row is counted; the trusted ids are bounded by TRUSTED_ROWS and broadcast. Without any
-    trusted row, or without any n-gram, all ratios are 0.
+    Every n-gram of every row is counted, and every trusted row. Without any trusted row, or without any n-gram, all
+    ratios are 0.
     """
-    marked = df.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__t")).join(
-        F.broadcast(trusted_ids(labels).withColumn("__good", F.lit(1))), "__id", "left")
+    good = trusted_ids(labels).withColumn("__good", F.lit(1))
+    rows = df.select(F.col(key).cast("long").alias("__id"), F.col(text).alias("__t"))
+    few = good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    marked = rows.join(F.broadcast(good), "__id", "left") if few else skew_join(rows, good, ["__id"], "left")
     grams = fenced(with_words(marked, "__t").select("__good", "__h1", "__h2"), {"__b": buckets()}).select("__good", F.explode("__b").alias("b"))
     counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("__good").alias("good"))
     raw, good = [0] * BUCKETS, [0] * BUCKETS
@@ -75,7 +78,7 @@ def ratios(raw: list[int], good: list[int]) -> list[float]:
     n, m, k = sum(raw), sum(good), len(raw)
     if not n or not m:
         return [0.0] * k
-    mu = float(PRIOR * k)
+    mu = max(float(PRIOR * k), PRIOR_SHARE * m)
     # log of ((g + mu * r / n) / (m + mu)) / (r / n); a bucket that the corpus never hits has ratio 0.
     return [round(log((g * n / r + mu) / (m + mu)), 9) if r else 0.0 for r, g in zip(raw, good, strict=True)]
 

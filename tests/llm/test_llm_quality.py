@@ -48,7 +48,8 @@ def brute(rows, trusted):
         raw.update(g)
         if key in trusted:
             good.update(g)
-    n, m, mu = sum(raw.values()), sum(good.values()), quality.PRIOR * quality.BUCKETS
+    n, m = sum(raw.values()), sum(good.values())
+    mu = max(quality.PRIOR * quality.BUCKETS, quality.PRIOR_SHARE * m)
     weight = {b: math.log((good[b] + mu * r / n) / (m + mu) / (r / n)) if m else 0.0 for b, r in raw.items()}
     out = []
     for key, text in rows:
@@ -120,3 +121,16 @@ def test_no_python_on_the_main_path(documents, labels):
 @pytest.mark.parametrize("raw, good", [([0, 0], [0, 0]), ([3, 0], [0, 0])])
 def test_nothing_to_learn_from(raw, good):
     assert quality.ratios(raw, good) == [0.0, 0.0]
+
+
+def test_ids_beyond_the_broadcast_count_alike(documents, labels, monkeypatch):
+    want = quality.log_ratios(documents, labels)
+    monkeypatch.setattr(quality, "BROADCAST_IDS", 3)
+    assert quality.log_ratios(documents, labels) == want
+
+
+def test_ratios_settle_as_the_trusted_sample_grows():
+    """Ten times as many trusted documents of the same kind, of which there are many, leave every ratio as it was."""
+    raw, good = [40_000_000 + i for i in range(1000)], [3_000_000 + 900 * i for i in range(1000)]
+    one, ten = quality.ratios([r * 10 for r in raw], good), quality.ratios([r * 100 for r in raw], [g * 10 for g in good])
+    assert all(abs(a - b) < 1e-6 for a, b in zip(one, ten, strict=True))
