@@ -4,9 +4,13 @@ ranks that stay even when one key holds a large share of the rows, and small exp
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -17,6 +21,11 @@ RANK_SALTS = 64
 #: least number of files that a written table keeps for the tasks that read it.
 FILE_BYTES = 32 << 20
 LEAST_FILES = 32
+#: Rows that go to a Python worker at once while a table is written; texts are long, and several copies of a batch are
+#: in memory on either side.
+BATCH_ROWS = 1000
+#: Ids that are broadcast at most, 8 bytes each.
+BROADCAST_IDS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,13 +80,37 @@ class Workspace:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        compacted(df).write.mode("overwrite").parquet(path)
+        rows, before = "spark.sql.execution.arrow.maxRecordsPerBatch", self.spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        try:
+            self.spark.conf.set(rows, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+            compacted(df).write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(rows, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         delete_path(self.spark, self.path(name))
 
 
+def release() -> None:
+    """Give memory that this worker no longer uses back to the machine; workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, for mapInArrow, with `release` at the end of each task."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def input_partitions(df: DataFrame) -> int:
     """How many partitions a shuffle of this session makes."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -95,6 +128,14 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> D
     return a.join(b, [*keys, "__key"], how).drop("__key")
 
 
+def only_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Rows of `df` whose `on` is among the long numbers in the one column of the written table `ids`. They are counted
+    first: up to BROADCAST_IDS are broadcast, so `df` stays where it is; more are joined by a shuffle."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    named = ids.toDF(on)
+    return df.join(F.broadcast(named) if few else named, on, "left_semi").select(*df.columns)
+
+
 def unique_name(df: DataFrame, wanted: str) -> str:
     """A column name that no column of `df` has, in any case."""
     have = {c.lower() for c in df.columns}

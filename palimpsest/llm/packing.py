@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from palimpsest.llm.common import Workspace, ranked, unique_name
+from palimpsest.llm.common import Workspace, frugal, ranked, unique_name
 
 SEQUENCE = 2048
 END_ID = 0
@@ -40,8 +40,11 @@ FILLERS = 3 / 64
 #: Pieces of one length that are ranked together, at most; and parts that the rarest split makes.
 PART_ROWS = 200_000
 LEAST_PARTS = 1024
-#: Bytes of chunks and ids that a worker remembers, about; it forgets all of them when there are more.
-CACHE_BYTES = 48 << 20
+#: Bytes of chunks and ids that a worker remembers, about: half of them new, half those that it had before, of which it
+#: keeps what it meets again.
+CACHE_BYTES = 192 << 20
+#: Places, one byte each, that tell whether a chunk may have been met before; only those are remembered.
+MET = 1 << 22
 _ODD = re.compile("[\x1c-\x1f]")
 _BEYOND = re.compile("[^\x00-ɏ]")
 #: Chunks of these characters alone are normalised by lower-casing, and Python's classes tell their letters and digits.
@@ -61,7 +64,12 @@ class ChunkTokenizer:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            raw = f.read()
+        try:  # all but the vocabulary, which is by far the most of the file and stands last in it
+            spec = json.loads(raw[: raw.find('"model"')].rstrip().rstrip(",") + "}")
+        except ValueError:
+            spec = json.loads(raw)
+        del raw
         kinds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.lower = "Lowercase" in kinds
         # Chunks are independent only for a tokenizer that drops white space.
@@ -76,39 +84,47 @@ class ChunkTokenizer:
         self.table = {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.cache: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
         self.held = 0
+        self.met = bytearray(MET)
         self.tokenize = self.tokenizer.model.tokenize
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk that is not remembered. The pre-tokens of a plain one go to the model by themselves."""
+        """Ids of a chunk that is not among the new ones. The pre-tokens of a plain one go to the model by themselves."""
+        ids = self.old[0].get(chunk)
+        if ids is not None:
+            self._remember(self.cache, chunk, ids)
+            return ids
         if self.plain and _PLAIN.fullmatch(chunk) and not ("<" in chunk and any(x in chunk for x in self.special)):
-            words = self.words
             out = []
             for word in _PRETOKEN.findall(chunk.lower()):
-                got = words.get(word)
+                got = self.words.get(word)
                 if got is None:
-                    mapped = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.table)
-                    got = array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
+                    got = self.old[1].get(word)
+                    if got is None:
+                        mapped = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.table)
+                        got = array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
                     if len(word) <= 64:
-                        self._remember(words, word, got)
+                        self._remember(self.words, word, got)
                 out.append(got)
             ids = out[0] if len(out) == 1 else b"".join(out)
         else:
             ids = self._whole(chunk)
-        if len(chunk) <= 64:
+        at = hash(chunk) & MET - 1
+        if self.met[at] and len(chunk) <= 64:
             self._remember(self.cache, chunk, ids)
+        self.met[at] = 1
         return ids
 
     def _remember(self, where: dict[str, bytes], text: str, ids: bytes) -> None:
-        self.held += sys.getsizeof(text) + sys.getsizeof(ids) + 100  # and a dictionary's own for each entry
-        if self.held > CACHE_BYTES:
-            self.cache.clear()
-            self.words.clear()
-            self.held = 0
         where[text] = ids
+        self.held += 160 + len(text) + len(ids)  # objects and dictionaries take some 160
+        if 2 * self.held > CACHE_BYTES:
+            self.old = (self.cache, self.words)
+            self.cache, self.words, self.held, self.met = {}, {}, 0, bytearray(MET)
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
@@ -164,7 +180,7 @@ def pieces(df: DataFrame, path: str, key: str, text: str, size: int, with_ids: b
                 cols = [b.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(ids, pa.binary())] * with_ids, names=names)
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(frugal(run), schema)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Workspace, connected_components, skew_join, sorted_positions, unique_name
+from palimpsest.llm.common import Workspace, connected_components, frugal, only_ids, release, skew_join, sorted_positions, unique_name
 
 RADIUS = 4
 SHINGLE = 4
@@ -47,6 +47,8 @@ STRIP = 128
 VERIFY_BLOCK = 256
 #: Bytes of a shingle's hash that tell it from others when links are verified.
 HASH_BYTES = 5
+#: Texts whose sets are held at once.
+SLICE = 256
 #: Columns of one matrix of documents by shingles.
 COLUMNS = 8192
 _MASK16 = np.uint64(0xFFFF)
@@ -115,7 +117,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fp", size: int =
             got = [sketch(t.as_py(), size, words, distinct).astype(">u8").tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(got, pa.binary())], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
 
 
 def _quarters(values: np.ndarray) -> np.ndarray:
@@ -203,14 +205,19 @@ def forest(values: np.ndarray, split: int | None, radius: int, block: int = BLOC
     return child, label[child]
 
 
-def near_links(values: np.ndarray, split: int | None, radius: int, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+def near_links(values: np.ndarray, split: int | None, radius: int, block: int = BLOCK, wide: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Like `forest`, but pairs that are themselves within `radius`: a row's links to its nearest come first within a
-    block of comparisons, and links that close a ring are left out."""
+    block of comparisons, and links that close a ring are left out. Also the rows that are within `wide` (at least
+    `radius`) of any other."""
     n = len(values)
-    label = np.arange(n)
+    label, met = np.arange(n), np.zeros(n, bool)
     out: list[tuple[np.ndarray, np.ndarray]] = []
-    for u, v in _block_pairs(values, split, radius, block):
+    for u, v in _block_pairs(values, split, radius if wide is None else wide, block):
+        met[u] = True
+        met[v] = True
         apart = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(values[u[x : x + block]] ^ values[v[x : x + block]]).sum(axis=1, dtype=np.int64) for x in range(0, len(u), block))])
+        use = apart <= radius
+        u, v, apart = u[use], v[use], apart[use]
         while True:
             high, low = np.maximum(label[u], label[v]), np.minimum(label[u], label[v])
             differ = high != low
@@ -224,7 +231,7 @@ def near_links(values: np.ndarray, split: int | None, radius: int, block: int =
             while not (label[label] == label).all():
                 label = label[label]
     empty = np.zeros(0, np.int64)
-    return np.concatenate([empty, *(u for u, _ in out)]), np.concatenate([empty, *(v for _, v in out)])
+    return np.concatenate([empty, *(u for u, _ in out)]), np.concatenate([empty, *(v for _, v in out)]), np.flatnonzero(met)
 
 
 def _block_pairs(values: np.ndarray, split: int | None, radius: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -312,7 +319,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
 
     Rows link when their fingerprints differ in at most `radius` bits. Null and empty texts have fingerprint zero
     and link like any other; repeated rows stay and share a component; a null key takes part but is never a
-    component's name (null if nothing else is reachable). Other columns are ignored; an empty table gives none.
+    component's name (null if nothing else is reachable). Very long texts count whole. Other columns are ignored; an empty table gives none.
     """
     spark = df.sparkSession
     ws = Workspace(spark, "simhash")
@@ -351,7 +358,7 @@ def shingle_sets(df: DataFrame, size: int, words: int) -> DataFrame:
     names = ["r", "k", "fp", "cid", "sh"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             out: list[list[bytes]] = [[], [], []]
             for t in b.column(2):
                 tokens = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
@@ -361,7 +368,7 @@ def shingle_sets(df: DataFrame, size: int, words: int) -> DataFrame:
                 out[2].append(np.ascontiguousarray(once.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.binary()) for x in out)], names=names)
 
-    return df.select("r", "k", "t").mapInArrow(run, "r long, k long, fp binary, cid binary, sh binary")
+    return df.select("r", "k", "t").mapInArrow(frugal(run), "r long, k long, fp binary, cid binary, sh binary")
 
 
 def _bits(once: np.ndarray, words: int) -> np.ndarray:
@@ -430,11 +437,16 @@ def duplicate_groups(ws: Workspace, prints: DataFrame, similarity: float, words:
     def near(group: pa.Table) -> pa.Table:
         fp, split, order = _unpacked(group, words)
         rep = group.column("rep").to_numpy()[order]
-        u, v = near_links(fp, split, close)
-        return pa.table({"u": pa.array(rep[u]), "v": pa.array(rep[v])})
-
-    sets = prints.select("r", "sh")
-    first = ws.table(dealt.groupBy("pair").applyInArrow(near, "u long, v long").distinct(), "near")
+        u, v, met = near_links(fp, split, close, wide=wide)
+        alone = np.full(len(met), -1, np.int64)  # a row that has any candidate
+        release()
+        return pa.table({"u": pa.array(np.concatenate([rep[u], rep[met]])), "v": pa.array(np.concatenate([rep[v], alone]))})
+
+    found = ws.table(dealt.groupBy("pair").applyInArrow(near, "u long, v long"), "near")
+    # From here on only rows that have a candidate, and their sets.
+    met = ws.table(found.filter("v < 0").select(F.col("u").alias("rep")).distinct(), "met")
+    sets = ws.table(only_ids(prints.select("r", "sh"), met, "r"), "sets")
+    first = found.filter("v >= 0").distinct()
     both = first.join(sets.select(F.col("r").alias("u"), F.col("sh").alias("a")), "u").join(sets.select(F.col("r").alias("v"), F.col("sh").alias("b")), "v")
 
     def true(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,7 +459,7 @@ def duplicate_groups(ws: Workspace, prints: DataFrame, similarity: float, words:
 
     sure = ws.table(both.select("u", "v", "a", "b").mapInArrow(true, "u long, v long"), "sure")
     groups = ws.table(connected_components(ws, sure, "first"), "groups")
-    named = dealt.join(groups, F.col("rep") == F.col("node"), "left").select("rep", "fp", "tile", "pair", F.coalesce("component", "rep").alias("group"))
+    named = only_ids(dealt, met, "rep").join(groups, F.col("rep") == F.col("node"), "left").select("rep", "fp", "tile", "pair", F.coalesce("component", "rep").alias("group"))
 
     def between(group: pa.Table) -> pa.Table:
         fp, split, order = _unpacked(group, words)
@@ -459,6 +471,7 @@ def duplicate_groups(ws: Workspace, prints: DataFrame, similarity: float, words:
             for a, b in np.unique(np.stack([u // VERIFY_BLOCK, v // VERIFY_BLOCK], axis=1), axis=0).tolist():
                 mine = (u // VERIFY_BLOCK == a) & (v // VERIFY_BLOCK == b)
                 found.setdefault((a, b), set()).update(rep[np.concatenate([u[mine], v[mine]])].tolist())
+        release()
         pair = group.column("pair")[0].as_py()
         rows = [(pair, a, b, r) for (a, b), rs in found.items() for r in sorted(rs)]
         return pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["p", "a", "b", "r"])
@@ -471,8 +484,8 @@ def duplicate_groups(ws: Workspace, prints: DataFrame, similarity: float, words:
         return pa.table({"u": pa.array(rep[child]), "v": pa.array(rep[root])})
 
     more = ws.table(involved.join(sets, "r").groupBy("p", "a", "b").applyInArrow(verify, "u long, v long"), "more")
-    found = connected_components(ws, sure.unionByName(more), "rounds")
-    return classes.join(found, F.col("rep") == F.col("node"), "left").select("cid", F.coalesce("component", "rep").alias("component"))
+    ends = connected_components(ws, sure.unionByName(more), "rounds")
+    return classes.join(ends, F.col("rep") == F.col("node"), "left").select("cid", F.coalesce("component", "rep").alias("component"))
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, size: int = 5, words: int = 16) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Workspace
+from palimpsest.llm.common import Workspace, frugal
 
 #: Labelled rows that the model is fitted to, at most, half of either label if there are as many: those with the
 #: smallest hashes. With MODEL_TERMS this bounds what the driver gathers, however long the texts are.
@@ -40,7 +40,7 @@ WEIGHT_STEP = 0.5
 FOLDS = 5
 _WORD = re.compile(r"\w+")
 #: Words that a worker remembers the terms of.
-CACHE = 200_000
+CACHE = 50_000
 
 
 def word_terms(word: str) -> tuple[int, ...]:
@@ -173,7 +173,7 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             found = pa.array([sorted(terms(t.as_py(), cache)) for t in b.column(1)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), found, b.column(2)], names=["k", "x", "toxic"])
 
-    sample = ws.table(training_rows(df, labels, key, text, rows).mapInArrow(run, "k long, x array<int>, toxic int"), "sample")
+    sample = ws.table(training_rows(df, labels, key, text, rows).mapInArrow(frugal(run), "k long, x array<int>, toxic int"), "sample")
     n, pos = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     chosen: list[int] = []
     if 0 < pos < n:
@@ -219,7 +219,7 @@ def scored(df: DataFrame, model: FactorizationMachine, text: str = "text", score
                 out.append(machine.score(found))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], names=names)
 
-    return keep.mapInArrow(run, schema)
+    return keep.mapInArrow(frugal(run), schema)
 
 
 def judge(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:

@@ -255,7 +255,9 @@ def test_near_counts_all_words():
     assert sorted(zip(u.tolist(), v.tolist(), strict=True)) == want
     child, root = simhash.forest(np.concatenate([a, b]), 300, radius)
     assert list(zip(root.tolist(), (child - 300).tolist(), strict=True)) == want
-    u, v = simhash.near_links(np.concatenate([a, b]), 300, radius)
+    u, v, met = simhash.near_links(np.concatenate([a, b]), 300, radius - 20, wide=radius)
+    assert len(u) == 0 and met.tolist() == sorted([*range(0, 200, 2), *range(300, 500, 2)])
+    u, v, _ = simhash.near_links(np.concatenate([a, b]), 300, radius)
     assert sorted(zip(u.tolist(), (v - 300).tolist(), strict=True)) == want
 
 
@@ -265,7 +267,7 @@ def test_near_links_are_links(split):
     values = (rng.integers(0, 1 << 9, (90, 1)).astype(np.uint64) << np.uint64(20)) | np.uint64(7)
     apart = lambda i, j: bin(int(values[i, 0] ^ values[j, 0])).count("1")
     ok = lambda i, j: (split is None or (i < split) != (j < split)) and apart(i, j) <= 1
-    u, v = (x.tolist() for x in simhash.near_links(values, split, 1, 16))
+    u, v, _ = (x.tolist() for x in simhash.near_links(values, split, 1, 16))
     assert all(ok(i, j) for i, j in zip(u, v, strict=True))
     want = smallest(range(90), [p for p in combinations(range(90), 2) if ok(*p)])
     assert smallest(range(90), zip(u, v, strict=True)) == want and len(u) == 90 - len(set(want.values()))
