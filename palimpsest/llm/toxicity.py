@@ -39,8 +39,9 @@ WEIGHT_DECAY = 1e-3
 WEIGHT_STEP = 0.5
 FOLDS = 5
 _WORD = re.compile(r"\w+")
-#: Words that a worker remembers the terms of.
+#: Words that a worker remembers the terms of; and of which it remembers the model's terms alone, few for most.
 CACHE = 50_000
+TOLD = 200_000
 
 
 def word_terms(word: str) -> tuple[int, ...]:
@@ -203,7 +204,7 @@ def scored(df: DataFrame, model: FactorizationMachine, text: str = "text", score
         def told(word: str) -> tuple[int, ...]:
             got = cache.get(word)
             if got is None:
-                if len(cache) >= CACHE:
+                if len(cache) >= TOLD:
                     cache.clear()
                 got = tuple(t for t in word_terms(word) if t in known)
                 if len(word) <= 64:
