@@ -9,15 +9,17 @@ instead of all pairs, which leaves connectivity as it is. Copies share a fingerp
 Cost: the number of tile pairs grows with the square of the number of *distinct* fingerprints, less what the
 population counts rule out; the shuffle carries each fingerprint once per partner tile.
 
-`deduplicate` finds near-duplicates by the similarity of shingle sets. SimHashes of 1024 bits compared in the same way
-give candidates, with a radius that a pair at the similarity exceeds once in millions, and every link is then verified
-on the shingles themselves. Links of near neighbours come first; what they connect is one group in the second round,
-in which candidates between groups are compared block by block, so no group of copies meets itself again.
+`deduplicate` finds near-duplicates by the similarity of shingle sets, without any SimHash and without comparing all
+texts: sets at the similarity must share some of their first shingles in any order that all sets agree on (the prefix
+filter of set-similarity joins), so only texts that do are candidates, and every link is then verified on the sets.
+The order puts frequent shingles last, so nearly all first ones are a text's own. Links between texts that are next to
+each other in size come first; what they connect is one group in the second round, in which all candidates between
+groups are verified, so a group of near copies does not meet itself again. No link is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -25,8 +27,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from palimpsest.llm.common import Workspace, connected_components, frugal, only_ids, release, skew_join, sorted_positions, unique_name
+from palimpsest.llm.common import Workspace, connected_components, frugal, input_partitions, only_ids, release, skew_join, sorted_positions, unique_name
 
 RADIUS = 4
 SHINGLE = 4
@@ -43,7 +46,25 @@ TILE_WORDS = 1 << 24
 BLOCK = 1024
 #: Rows of such a comparison whose counts are held at once.
 STRIP = 128
-#: Rows of a block of candidates; the shingles of two such blocks are verified at once.
+#: Texts, about, whose shingles are counted for the order of all shingles, and the frequent ones of these that go to
+#: the workers, 12 bytes each. Both bear on the time only: any order gives the same links.
+SAMPLE = 1 << 14
+FREQUENT = 1 << 18
+#: First shingles that two sets at the similarity have in common at least (if they share so many at all). More make
+#: candidates fewer and first shingles more.
+SHARED = 6
+#: First shingles that one task sorts, about, and those that one task collects before it sends them off.
+DEALT = 1 << 19
+PENDING = 1 << 18
+#: Texts that each text with a first shingle is compared to in the first round: those that follow in order of size, and
+#: those with the smallest ids.
+FOLLOWING = 4
+HUBS = 4
+#: Texts with a first shingle, beyond which its pairs are made text by text.
+LONG_RUN = 64
+#: Candidate pairs that are made before equal ones are counted.
+PAIRS = 1 << 21
+#: Rows of a block of sets that are verified at once.
 VERIFY_BLOCK = 256
 #: Bytes of a shingle's hash that tell it from others when links are verified.
 HASH_BYTES = 5
@@ -352,9 +373,9 @@ def radius_for(similarity: float, words: int, slack: float = 5.0) -> int:
     return int(np.ceil(n * worst + slack * (n * worst * (1 - worst)) ** 0.5))
 
 
-def shingle_sets(df: DataFrame, size: int, words: int) -> DataFrame:
-    """(r, k, t) to (r, k, fp, cid, sh): the SimHash of a text's distinct shingles, a digest of their set, and the set:
-    HASH_BYTES of each shingle's hash, in order."""
+def shingle_sets(df: DataFrame, size: int, words: int = 0) -> DataFrame:
+    """(r, k, t) to (r, k, fp, cid, sh): the SimHash of a text's distinct shingles (empty for no words), a digest of
+    their set, and the set: HASH_BYTES of each shingle's hash, in order."""
     names = ["r", "k", "fp", "cid", "sh"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +384,7 @@ def shingle_sets(df: DataFrame, size: int, words: int) -> DataFrame:
             for t in b.column(2):
                 tokens = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
                 once = np.unique(np.concatenate(list(_hashes(tokens, size)))) if tokens else np.zeros(0, np.uint64)
-                out[0].append(_bits(once, words).astype(">u8").tobytes())
+                out[0].append(_bits(once, words).astype(">u8").tobytes() if words else b"")
                 out[1].append(xxhash.xxh3_128_digest(once.tobytes()))
                 out[2].append(np.ascontiguousarray(once.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.binary()) for x in out)], names=names)
@@ -426,28 +447,178 @@ def verified_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarra
     return child, label[child]
 
 
-def duplicate_groups(ws: Workspace, prints: DataFrame, similarity: float, words: int, tiles: int | None = None) -> DataFrame:
-    """(cid, component) of every class of equal shingle sets in `prints` (r, k, fp, cid, sh): the smallest r reachable
-    over pairs of sets at the similarity."""
-    classes = ws.table(prints.groupBy("cid").agg(F.min("r").alias("rep"), F.min("fp").alias("fp")), "classes")
-    close, wide = radius_for(similarity, words, 0.0), radius_for(similarity, words)
-    # Sets whose SimHashes are equal are compared too: a fingerprint need not be distinct here.
-    dealt = _tile_table(ws, classes.select("rep", "fp"), "tiles", wide, words, tiles)
+def least_shared(size, similarity: float):
+    """Elements that a set of this size shares at least with any set at the Jaccard similarity to it."""
+    return np.ceil(similarity * np.asarray(size) - 1e-9).astype(np.int64)
 
-    def near(group: pa.Table) -> pa.Table:
-        fp, split, order = _unpacked(group, words)
-        rep = group.column("rep").to_numpy()[order]
-        u, v, met = near_links(fp, split, close, wide=wide)
-        alone = np.full(len(met), -1, np.int64)  # a row that has any candidate
+
+def first_length(size, similarity: float):
+    """How many elements of a set are its first ones."""
+    return np.minimum(size, np.asarray(size) - least_shared(size, similarity) + SHARED)
+
+
+def first_shared(left, right, similarity: float):
+    """First elements that two sets of these sizes at the similarity have in common at least. Of the set whose first
+    ones end sooner in the order, all that are in the other are among the other's first ones, so whatever else the two
+    share is in the rest of that set."""
+    rest = np.maximum(left - first_length(left, similarity), right - first_length(right, similarity))
+    both = np.ceil(similarity / (1 + similarity) * (np.asarray(left) + right) - 1e-9).astype(np.int64)
+    return np.maximum(1, both - rest)
+
+
+def first_shingles(whole: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first elements of a set, by counts (0 for those not in `frequent`, which is in order) and value."""
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, whole), len(frequent) - 1)
+        whole = whole[np.argsort(np.where(frequent[at] == whole, counts[at], 0), kind="stable")]
+    return whole[: int(first_length(len(whole), similarity))]
+
+
+def _dealt(sets: DataFrame, parts: int, first: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(part, data): the shingles `first` of each set in `sets` (r, sh), dealt to parts by their value. `data` packs
+    shingles, their texts' r and the sizes of their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending: list[tuple[np.ndarray, int, int]] = []
+        held = 0
+
+        def packed() -> pa.RecordBatch:
+            t = np.concatenate([x for x, _, _ in pending])
+            r, n = (np.repeat(np.array([x[i] for x in pending], kind), [len(x[0]) for x in pending]) for i, kind in ((1, "<i8"), (2, "<i4")))
+            part = (t % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+            spans = [order[lo:hi] for lo, hi in zip(cuts, [*cuts[1:], len(order)], strict=True)]
+            data = [t[x].astype("<u8").tobytes() + r[x].tobytes() + n[x].tobytes() for x in spans]
+            return pa.RecordBatch.from_arrays([pa.array(part[order[cuts]], pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
+
+        for b in batches:
+            for r, sh in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                whole = _set(sh.as_py())
+                if len(whole):
+                    pending.append((first(whole), r, len(whole)))
+                    held += len(pending[-1][0])
+                if held >= PENDING:
+                    yield packed()
+                    pending, held = [], 0
+        if held:
+            yield packed()
+
+    return sets.select("r", "sh").mapInArrow(frugal(run), "part int, data binary")
+
+
+def _undealt(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles, texts and sizes of a part."""
+    out: tuple[list[np.ndarray], ...] = ([], [], [])
+    for x in group.column("data"):
+        data = x.as_py()
+        m = len(data) // 20
+        for into, kind, at in zip(out, ("<u8", "<i8", "<i4"), (0, 8 * m, 16 * m), strict=True):
+            into.append(np.frombuffer(data, kind, m, at))
+    t, r, n = (np.concatenate(x) for x in out)
+    return t.astype(np.uint64), r.astype(np.int64), n.astype(np.int64)
+
+
+def frequent_shingles(sets: DataFrame, texts: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that most of about SAMPLE of the sets have, in order, and how many of these have each."""
+    some = sets if texts <= SAMPLE else sets.filter(F.pmod(F.xxhash64("r"), F.lit(-(-texts // SAMPLE))) == 0)
+    most = max(1, 4 * FREQUENT // parts)
+
+    def count(group: pa.Table) -> pa.Table:
+        t, n = np.unique(_undealt(group)[0], return_counts=True)
+        t, n = t[n > 1], n[n > 1]
+        top = np.argsort(-n, kind="stable")[:most]
         release()
-        return pa.table({"u": pa.array(np.concatenate([rep[u], rep[met]])), "v": pa.array(np.concatenate([rep[v], alone]))})
+        return pa.table({"t": pa.array(t[top].astype(np.int64)), "n": pa.array(n[top].astype(np.int64))})
+
+    found = _dealt(some, parts, lambda whole: whole).groupBy("part").applyInArrow(count, "t long, n long").orderBy(F.desc("n"), "t").limit(FREQUENT).toArrow()
+    t, n = found.column("t").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(t)
+    return t[order].astype(np.uint64), n[order]
+
+
+def _pairs(t: np.ndarray, r: np.ndarray, n: np.ndarray, g: np.ndarray, similarity: float, following: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indexes of rows (shingle, text, size, group) that have a shingle in common, are of different groups, and of sizes
+    that the similarity allows, a slice at a time: of each row and the next `following` ones with its shingle in order
+    of size, and the HUBS smallest texts with it, or all. Rows are in order of shingle and size."""
+    start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])[: len(t)])
+    length = np.diff(np.append(start, len(t)))
+    end = np.repeat(start + length, length)
+    fits = lambda i, j: n[i] >= similarity * n[j] - 1e-9
+    whole = following is None
+    at = np.flatnonzero(np.repeat(length <= LONG_RUN, length)) if whole else np.arange(len(t))
+    for k in range(1, (LONG_RUN if whole else following) + 1):
+        at = at[at + k < end[at]]
+        at = at[fits(at, at + k)]  # sizes grow, so what does not fit never will
+        for x in range(0, len(at), PAIRS):
+            i = at[x : x + PAIRS]
+            i = i[g[i] != g[i + k]]
+            yield i, i + k
+    if not whole:
+        order, run = np.lexsort((r, t)), np.repeat(np.arange(len(start)), length)
+        for k in range(HUBS):
+            hub = order[np.minimum(start + k, start + length - 1)][run]
+            at = np.flatnonzero((k < length[run]) & (r > r[hub]) & (abs(hub - np.arange(len(t))) > following) & (g != g[hub]))
+            low, high = np.minimum(at, hub[at]), np.maximum(at, hub[at])
+            use = fits(low, high)
+            yield low[use], high[use]
+        return
+    for lo, m in zip(start[length > LONG_RUN], length[length > LONG_RUN], strict=True):
+        names, count = np.unique(g[lo : lo + m], return_counts=True)
+        other = g[lo : lo + m] != names[np.argmax(count)]  # rows out of the largest group meet all, and each other once
+        for i in np.flatnonzero(other):
+            j = np.flatnonzero((g[lo : lo + m] != g[lo + i]) & ~(other & (np.arange(m) <= i)))
+            low, high = lo + np.minimum(i, j), lo + np.maximum(i, j)
+            use = fits(low, high)
+            yield low[use], high[use]
+
+
+def _candidates(shared: DataFrame, parts: int, similarity: float, following: int | None) -> DataFrame:
+    """(u, v): pairs of texts in `shared` (t, r, n, c, g) that have as many first shingles in common as the similarity
+    asks for, by `_pairs`; c is how many of a text's first shingles any other text has. With all pairs of different
+    groups, none at the similarity is missing."""
+
+    def meet(group: pa.Table) -> Iterator[pa.RecordBatch]:
+        t, r, n, g, c = (group.column(x).to_numpy() for x in ("t", "r", "n", "g", "c"))
+        order = np.lexsort((r, n, t))
+        t, r, n, g, c = t[order], r[order], n[order], g[order], c[order]
+        kept: list[np.ndarray] = []
+        held = 0
+
+        def counted() -> pa.RecordBatch:
+            rows = np.concatenate(kept)
+            rows = rows[np.lexsort(rows.T)]
+            new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
+            names = ["u", "v", "need", "n"]
+            return pa.RecordBatch.from_arrays([*(pa.array(rows[new, i]) for i in range(3)), pa.array(np.diff(np.append(new, len(rows))).astype(np.int64))], names=names)
+
+        for i, j in _pairs(t, r, n, g, similarity, following):
+            need = first_shared(n[i], n[j], similarity)
+            use = np.minimum(c[i], c[j]) >= need
+            i, j, need = i[use], j[use], need[use] if following is None else np.minimum(need[use], SHARED)  # not all are seen
+            kept.append(np.stack([np.minimum(r[i], r[j]), np.maximum(r[i], r[j]), need], axis=1))
+            held += len(i)
+            if held >= PAIRS:
+                yield counted()
+                kept, held = [], 0
+        if held:
+            yield counted()
+        release()
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from meet(pa.Table.from_batches(found))
+
+    batches.__annotations__ = {"found": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}  # Spark reads the types, not their names
+    met = shared.groupBy(F.pmod("t", F.lit(parts)).alias("part")).applyInArrow(batches, "u long, v long, need long, n long")
+    return met.groupBy("u", "v", "need").agg(F.sum("n").alias("n")).filter("n >= need").select("u", "v")
+
 
-    found = ws.table(dealt.groupBy("pair").applyInArrow(near, "u long, v long"), "near")
-    # From here on only rows that have a candidate, and their sets.
-    met = ws.table(found.filter("v < 0").select(F.col("u").alias("rep")).distinct(), "met")
-    sets = ws.table(only_ids(prints.select("r", "sh"), met, "r"), "sets")
-    first = found.filter("v >= 0").distinct()
-    both = first.join(sets.select(F.col("r").alias("u"), F.col("sh").alias("a")), "u").join(sets.select(F.col("r").alias("v"), F.col("sh").alias("b")), "v")
+def _verified(ws: Workspace, pairs: DataFrame, sets: DataFrame, similarity: float, name: str) -> DataFrame:
+    """The pairs (u, v), a written table, whose sets in `sets` (r, sh) have the similarity."""
+    ids = ws.table(pairs.select(F.col("u").alias("r")).unionByName(pairs.select(F.col("v").alias("r"))).distinct(), f"{name}-ids")
+    mine = ws.table(only_ids(sets, ids, "r"), f"{name}-sets")
+    both = skew_join(pairs, mine.select(F.col("r").alias("u"), F.col("sh").alias("a")), ["u"], "inner")
+    both = skew_join(both, mine.select(F.col("r").alias("v"), F.col("sh").alias("b")), ["v"], "inner")
 
     def true(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -457,43 +628,48 @@ def duplicate_groups(ws: Workspace, prints: DataFrame, similarity: float, words:
                 keep.append(bool(alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), similarity)))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep)), b.column(1).filter(pa.array(keep))], names=["u", "v"])
 
-    sure = ws.table(both.select("u", "v", "a", "b").mapInArrow(true, "u long, v long"), "sure")
-    groups = ws.table(connected_components(ws, sure, "first"), "groups")
-    named = only_ids(dealt, met, "rep").join(groups, F.col("rep") == F.col("node"), "left").select("rep", "fp", "tile", "pair", F.coalesce("component", "rep").alias("group"))
+    return ws.table(both.select("u", "v", "a", "b").mapInArrow(frugal(true), "u long, v long"), name)
 
-    def between(group: pa.Table) -> pa.Table:
-        fp, split, order = _unpacked(group, words)
-        rep, name = (group.column(c).to_numpy()[order] for c in ("rep", "group"))
-        found: dict[tuple[int, int], set[int]] = {}
-        for u, v in _block_pairs(fp, split, wide, BLOCK):
-            other = name[u] != name[v]
-            u, v = u[other], v[other]
-            for a, b in np.unique(np.stack([u // VERIFY_BLOCK, v // VERIFY_BLOCK], axis=1), axis=0).tolist():
-                mine = (u // VERIFY_BLOCK == a) & (v // VERIFY_BLOCK == b)
-                found.setdefault((a, b), set()).update(rep[np.concatenate([u[mine], v[mine]])].tolist())
-        release()
-        pair = group.column("pair")[0].as_py()
-        rows = [(pair, a, b, r) for (a, b), rs in found.items() for r in sorted(rs)]
-        return pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["p", "a", "b", "r"])
 
-    involved = ws.table(named.groupBy("pair").applyInArrow(between, "p long, a long, b long, r long"), "involved")
-
-    def verify(group: pa.Table) -> pa.Table:
-        rep = group.column("r").to_numpy()
-        child, root = verified_links([_set(x.as_py()) for x in group.column("sh")], similarity)
-        return pa.table({"u": pa.array(rep[child]), "v": pa.array(rep[root])})
-
-    more = ws.table(involved.join(sets, "r").groupBy("p", "a", "b").applyInArrow(verify, "u long, v long"), "more")
+def duplicate_groups(ws: Workspace, prints: DataFrame, similarity: float, words: int = 0, tiles: int | None = None) -> DataFrame:
+    """(cid, component) of every class of equal shingle sets in `prints` (r, k, fp, cid, sh): the smallest r reachable
+    over pairs of sets at the similarity. Sketches of `words` words in `prints` are not looked at; first shingles are
+    dealt to `tiles` parts, or to as many as their number asks for."""
+    classes = ws.table(prints.groupBy("cid").agg(F.min("r").alias("rep"), F.first(F.length("sh")).alias("bytes")), "classes")
+    sets = only_ids(prints.select("r", "sh"), classes.select("rep"), "r")
+    texts, elements = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    parts = tiles or max(4 * input_partitions(prints), int((1 - similarity) * elements / HASH_BYTES + SHARED * texts) // DEALT + 1)
+    frequent, counts = frequent_shingles(sets, texts, parts)
+    firsts = _dealt(sets, parts, lambda whole: first_shingles(whole, similarity, frequent, counts))
+
+    def repeated(group: pa.Table) -> pa.Table:
+        t, r, n = _undealt(group)
+        order = np.argsort(t, kind="stable")
+        same = t[order[1:]] == t[order[:-1]]
+        use = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(t) > 1 else order[:0]
+        release()
+        return pa.table({"t": pa.array(t[use].astype(np.int64)), "r": pa.array(r[use]), "n": pa.array(n[use])})
+
+    met = ws.table(firsts.groupBy("part").applyInArrow(repeated, "t long, r long, n long"), "met")
+    # A text whose first shingles are too few in other texts for any pair is no candidate.
+    counted = met.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("r")))
+    shared = ws.table(counted.filter(F.col("c") >= F.least(F.lit(SHARED), F.ceil(similarity * F.col("n") - 1e-9))), "shared")
+    next_ones = ws.table(_candidates(shared.withColumn("g", F.col("r")), parts, similarity, FOLLOWING), "next")
+    sure = _verified(ws, next_ones, sets, similarity, "sure")
+    groups = ws.table(connected_components(ws, sure, "first"), "groups")
+    named = shared.join(groups, F.col("r") == F.col("node"), "left").select("t", "r", "n", "c", F.coalesce("component", "r").alias("g"))
+    # What the first round has compared needs no second look.
+    between = ws.table(_candidates(named, parts, similarity, None).join(next_ones, ["u", "v"], "left_anti"), "between")
+    more = _verified(ws, between, sets, similarity, "more")
     ends = connected_components(ws, sure.unionByName(more), "rounds")
     return classes.join(ends, F.col("rep") == F.col("node"), "left").select("cid", F.coalesce("component", "rep").alias("component"))
 
 
-def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, size: int = 5, words: int = 16) -> DataFrame:
+def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, size: int = 5) -> DataFrame:
     """The rows of `df` without near-duplicates: of each component the row with the smallest key stays.
 
-    Texts link when their sets of `size`-word shingles have the given Jaccard similarity or more: candidates come from
-    SimHashes, `words` 64-bit words wide, and each link is verified on the sets, so none is false, and one at the
-    similarity is missed once in millions. Rows with a null key stay as they are, having no name to be compared by; of
+    Texts link when their sets of `size`-word shingles have the given Jaccard similarity or more: candidates are all texts
+    that share enough of their rarest shingles, and each link is verified on the sets, so none is false or missed. Rows with a null key stay as they are, having no name to be compared by; of
     rows that repeat the kept key, one stays. Texts without words, null ones too, are copies of each other; very long
     texts are compared whole; other columns pass through; an empty table gives an empty one.
     """
@@ -503,8 +679,8 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", similari
     # Written once with its row numbers, so they stay the same however often tasks run.
     base = ws.table(df.withColumn(rid, F.monotonically_increasing_id()), "rows")
     pick = base.select(F.col(rid).alias("r"), F.col(key).cast("long").alias("k"), F.col(text).alias("t")).filter(F.col("k").isNotNull())
-    prints = ws.table(shingle_sets(pick, size, words), "prints")
-    found = duplicate_groups(ws, prints, similarity, words)
+    prints = ws.table(shingle_sets(pick, size), "prints")
+    found = duplicate_groups(ws, prints, similarity)
     best = skew_join(prints.select("r", "k", "cid"), found, ["cid"], "inner").groupBy("component").agg(F.min(F.struct("k", "r")).alias("first")).select(F.col("first.r").alias(rid))
     kept = base.join(best, rid, "left_semi")
     return kept.unionByName(base.filter(F.col(key).isNull())).drop(rid)

@@ -271,3 +271,76 @@ def test_near_links_are_links(split):
     assert all(ok(i, j) for i, j in zip(u, v, strict=True))
     want = smallest(range(90), [p for p in combinations(range(90), 2) if ok(*p)])
     assert smallest(range(90), zip(u, v, strict=True)) == want and len(u) == 90 - len(set(want.values()))
+
+
+def test_deduplicate_compares_no_tiles(spark, monkeypatch):
+    """Unrelated texts never meet: sketches compared by pairs of tiles make the time grow with the square of the texts."""
+
+    def all_pairs(*_):
+        raise AssertionError("texts are compared by all pairs of tiles")
+
+    made = []
+    candidates = simhash._candidates
+    monkeypatch.setattr(simhash, "_tile_table", all_pairs)
+    monkeypatch.setattr(simhash, "_candidates", lambda *a: made.append(candidates(*a)) or made[-1])
+    rng = np.random.default_rng(5)
+    shared = "words that stand in every text of this table and make no copies of them"
+    rows = [(i, f"{' '.join(f'w{x}' for x in rng.integers(0, 100_000, 150))} {shared}") for i in range(300)]
+    rows += [(300 + i, f"{rows[i][1]} more") for i in range(20)]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(300))
+    assert [x.count() for x in made] == [20, 0]
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 1.0])
+def test_first_shingles_find_every_pair(similarity):
+    """Sets at the similarity share as many first elements as is asked of them, in any order that they agree on."""
+    rng = np.random.default_rng(8)
+    pool, met = np.unique(rng.integers(0, 1 << 40, 2000).astype(np.uint64)), 0
+    frequent = np.sort(rng.choice(pool, 300, replace=False))
+    counts = rng.integers(2, 9, 300)
+    for _ in range(4000):
+        a = np.sort(rng.choice(pool, int(rng.integers(1, 120)), replace=False))
+        more = rng.choice(pool, int(rng.integers(0, 1 + len(a) // 4)), replace=False)
+        b = np.unique(np.concatenate([rng.choice(a, max(1, len(a) - int(rng.integers(0, 1 + len(a) // 4))), replace=False), more]))
+        shared = len(np.intersect1d(a, b))
+        if not simhash.alike(shared, len(a), len(b), similarity):
+            continue
+        met += 1
+        x, y = (simhash.first_shingles(s, similarity, frequent, counts) for s in (a, b))
+        assert len(x) == simhash.first_length(len(a), similarity) and len(np.intersect1d(x, y)) >= simhash.first_shared(len(a), len(b), similarity)
+        assert simhash.first_shared(len(a), len(b), similarity) >= min(simhash.SHARED, simhash.least_shared(min(len(a), len(b)), similarity))
+    assert met > 100
+
+
+@pytest.mark.parametrize("long_run", [2, 1000])
+def test_pairs_of_different_groups(monkeypatch, long_run):
+    monkeypatch.setattr(simhash, "LONG_RUN", long_run)
+    monkeypatch.setattr(simhash, "PAIRS", 10)
+    rng = np.random.default_rng(long_run)
+    rows = sorted({(int(t), int(r)) for t, r in rng.integers(0, 30, (200, 2))})
+    size, group = rng.integers(10, 20, 30), rng.integers(0, 4, 30)
+    t, n, r = (np.array(x) for x in zip(*sorted((t, int(size[r]), r) for t, r in rows), strict=True))
+    fits = lambda i, j: t[i] == t[j] and group[r[i]] != group[r[j]] and min(n[i], n[j]) >= 0.8 * max(n[i], n[j]) - 1e-9
+    want = [(i, j) for i, j in combinations(range(len(t)), 2) if fits(i, j)]
+    made = lambda following: sorted((int(i), int(j)) for x, y in simhash._pairs(t, r, n, group[r], 0.8, following) for i, j in zip(x, y, strict=True))
+    assert made(None) == want
+    some = made(1)
+    assert len(some) == len(set(some)) and set(some) < set(want)
+
+
+def test_large_family_around_the_similarity(spark, monkeypatch):
+    """Many texts of one origin, of which some pairs are at the similarity and others just below, with runs of all kinds."""
+    monkeypatch.setattr(simhash, "LONG_RUN", 8)
+    monkeypatch.setattr(simhash, "SAMPLE", 20)
+    rng = np.random.default_rng(9)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for k in range(120):
+        words = base.copy()
+        for at in rng.choice(150, int(rng.integers(0, 9)), replace=False):
+            words[at] = f"x{rng.integers(0, 40)}"
+        rows.append((k, " ".join(words)))
+    want = components_by_sets(rows)
+    assert 1 < len(set(want.values())) < 100
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
