@@ -111,6 +111,17 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return whole
 
 
+def give_back(spark: SparkSession) -> None:
+    """Let the executors give heap that they no longer use back to the machine, for the Python workers beside them.
+
+    A JVM that has once grown to its limit keeps that memory, however little of it is in use, until a full collection
+    makes it smaller. One short job with a task for each core asks for one; an executor that gets no task, or whose JVM
+    ignores the request, stays as it is. No result depends on it."""
+    cores = spark.sparkContext.defaultParallelism
+    asked = spark.range(0, cores, 1, cores).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("asked"))
+    asked.write.format("noop").mode("overwrite").save()
+
+
 def input_partitions(df: DataFrame) -> int:
     """How many partitions a shuffle of this session makes."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -1,5 +1,6 @@
 """Joins, ranks, positions and components that stay even, against brute force."""
 
+import gc
 import random
 from collections import Counter, defaultdict
 
@@ -73,3 +74,15 @@ def test_skew_join(spark):
 
 def test_unique_name(spark):
     assert common.unique_name(spark.createDataFrame([], "Rank long, _rank long"), "rank") == "__rank"
+
+
+def test_give_back(spark):
+    """Here the one JVM is the executor too: what it holds after a gigabyte and more of rubbish goes back to the machine."""
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    rubbish = [spark._jvm.java.nio.ByteBuffer.allocate(256 << 20) for _ in range(6)]
+    before = heap.totalMemory()
+    assert before - heap.freeMemory() > 1536 << 20
+    del rubbish
+    gc.collect()
+    common.give_back(spark)
+    assert heap.totalMemory() < before - (256 << 20)

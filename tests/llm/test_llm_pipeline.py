@@ -77,6 +77,21 @@ def test_run_is_the_chain(spark, sf_dir, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, stages[-1][1].collect()))
 
 
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_begin_with_heap_given_back(spark, sf_dir, documents, monkeypatch, name):
+    """Heap that earlier stages filled is given back before a stage reads or starts anything."""
+    class Asked(Exception):
+        pass
+
+    def asked(session):
+        assert session is spark
+        raise Asked
+
+    monkeypatch.setattr(corpus_pipeline, "give_back", asked)
+    with pytest.raises(Asked):
+        dict(corpus_pipeline.STAGES)[name](spark, documents, sf_dir)
+
+
 def test_edges(spark, edge_rows, sf_dir, documents, labels):
     """What every stage makes of nulls, empty and long texts and repeated rows."""
     odd = spark.createDataFrame([(k, t, None, "src1", None) for k, t in edge_rows], documents.schema)
