@@ -1,0 +1,66 @@
+"""What is counted by segments of windows, against the postings, and how little leaves a task for it."""
+
+import random
+
+import pytest
+
+from palimpsest.config import MatchConfig
+from palimpsest.operators import index, segments
+
+SCHEMA = "doctype long, docid long, text string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh,. Ü") for _ in range(rng.randrange(1, 9))) for _ in range(40)]
+    rows = [(1 + i % 3, i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 120)))) for i in range(1, 60)]
+    rows += [(4, 1, rows[3][2] * 3), (4, 2, "x" * 400), (4, 3, None), (4, 4, "short"), (4, 5, ". " * 99), (None, 7, rows[1][2]), (-2, 1 << 40, rows[2][2])]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+CONFIGS = [MatchConfig(), MatchConfig(window=4, posting=4, blank=4, exclude_blank=False), MatchConfig(window=4, posting=2, blank=2), MatchConfig(hash_width=16)]
+
+
+def same(a, b):
+    assert a.columns == b.columns
+    got = sorted(map(tuple, a.collect()))
+    assert got == sorted(map(tuple, b.collect()))
+    return got
+
+
+@pytest.mark.parametrize("config", CONFIGS)
+def test_histogram_of_documents(docs, config):
+    assert same(index.document_histogram(docs, config), index.document_counts(index.postings(docs, config)))
+    assert not same(index.document_histogram(docs.filter("false"), config), index.document_counts(index.postings(docs.filter("false"), config)))
+
+
+def test_df_histogram_shuffles_segments(docs, sf_dir, spark):
+    """Posting rows, of 24 bytes and more, are not what is shuffled."""
+    from palimpsest.sources.documents import corpus
+
+    some = corpus(spark, sf_dir)
+    n = index.postings(some, MatchConfig()).count()
+    size = sum(len(r["packed"]) for r in segments.packed(some, MatchConfig(), True).collect())
+    assert 0 < size < 4 * n
+
+
+def test_slices_bound_what_is_held(docs, monkeypatch):
+    """Small flushes and slices give the same."""
+    want = index.document_counts(index.postings(docs, MatchConfig()))
+    monkeypatch.setattr(segments, "PACKED", 500)
+    monkeypatch.setattr(segments, "AT_ONCE", 100)
+    same(index.document_histogram(docs, MatchConfig()), want)
+
+
+def test_minimizers():
+    import numpy as np
+
+    from palimpsest.functions import text as tx
+
+    rng = np.random.default_rng(1)
+    norm = rng.integers(47, 60, 200).astype(np.uint8)
+    for width in (2, 8, 9, 24, 33):
+        run = min(segments.RUN, width)
+        one = [int(tx.fmix(np.array([int.from_bytes(norm[i : i + run].tobytes(), "little")], np.uint64))[0]) for i in range(len(norm) - run + 1)]
+        assert segments.minimizers(norm, width).tolist() == [min(one[i : i + width - run + 1]) for i in range(len(norm) - width + 1)]
