@@ -53,6 +53,22 @@ def test_slices_bound_what_is_held(docs, monkeypatch):
     same(index.document_histogram(docs, MatchConfig()), want)
 
 
+@pytest.mark.parametrize("config", CONFIGS)
+def test_first_lines(docs, config):
+    for start, limit in ((None, 1), (None, 30), (0, 25), (1 << 62, 100), (None, 10**6)):
+        same(index.first_lines(docs, config, start, limit), index.listing(index.postings(docs, config), start, limit))
+    assert index.first_lines(docs.filter("false"), config).count() == 0
+
+
+def test_first_lines_hand_on_few_rows(docs):
+    """A task hands on its first lines only, so what is sorted does not grow with the windows."""
+    made = index.first_lines(docs, MatchConfig(), None, 2)
+    leaves = [x for x in made.inputFiles()]
+    assert leaves
+    read = docs.sparkSession.read.parquet(*leaves)
+    assert read.select("hash", "doctype").distinct().count() <= 2 * docs.sparkSession.sparkContext.defaultParallelism * 4
+
+
 def test_minimizers():
     import numpy as np
 
