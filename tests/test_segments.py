@@ -53,6 +53,13 @@ def test_slices_bound_what_is_held(docs, monkeypatch):
     same(index.document_histogram(docs, MatchConfig()), want)
 
 
+@pytest.mark.parametrize("config", CONFIGS)
+def test_hash_count(docs, config):
+    for some in (docs, docs.filter("false")):
+        want = index.postings(some, config).select("hash").distinct().count()
+        assert [tuple(r) for r in index.hash_count(some, config).collect()] == [(want,)]
+
+
 @pytest.mark.parametrize("config", CONFIGS)
 def test_first_lines(docs, config):
     for start, limit in ((None, 1), (None, 30), (0, 25), (1 << 62, 100), (None, 10**6)):
