@@ -60,6 +60,12 @@ def test_hash_count(docs, config):
         assert [tuple(r) for r in index.hash_count(some, config).collect()] == [(want,)]
 
 
+@pytest.mark.parametrize("config", CONFIGS)
+def test_gap_histogram(docs, config):
+    for some in (docs, docs.filter("false")):
+        same(index.gap_histogram(some, config), index.gap_counts(index.postings(some, config)))
+
+
 @pytest.mark.parametrize("config", CONFIGS)
 def test_first_lines(docs, config):
     for start, limit in ((None, 1), (None, 30), (0, 25), (1 << 62, 100), (None, 10**6)):
