@@ -82,6 +82,16 @@ def test_first_lines_hand_on_few_rows(docs):
     assert read.select("hash", "doctype").distinct().count() <= 2 * docs.sparkSession.sparkContext.defaultParallelism * 4
 
 
+def test_type_sizes(docs):
+    dropped = docs.filter("doctype = 2 or docid = 4")
+    left = index.without(index.postings(docs, MatchConfig()), dropped)
+    want = {r["doctype"]: r["count"] for r in left.groupBy("doctype").count().collect()}
+    made = index.type_sizes(docs, MatchConfig(), dropped)
+    assert {r["doctype"]: r["n"] for r in made.collect()} == want
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("LeftAnti")  # windows are made of what is left only
+
+
 def test_minimizers():
     import numpy as np
 
