@@ -103,3 +103,41 @@ def test_minimizers():
         run = min(segments.RUN, width)
         one = [int(tx.fmix(np.array([int.from_bytes(norm[i : i + run].tobytes(), "little")], np.uint64))[0]) for i in range(len(norm) - run + 1)]
         assert segments.minimizers(norm, width).tolist() == [min(one[i : i + width - run + 1]) for i in range(len(norm) - width + 1)]
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_all_pairs_tally_alike_by_segments(spark, monkeypatch, strict):
+    """Runs of segments give the tallies of single windows, in places as slices ask for them; no posting row is made."""
+    from palimpsest.operators import associate, search
+
+    rng = random.Random(17)
+    parts = ["".join(rng.choice("abcdef ") for _ in range(rng.randrange(5, 40))) for _ in range(9)]
+    rows = [(1 + i % 3, i, "".join(rng.choice(parts) for _ in range(rng.randrange(1, 30)))) for i in range(1, 40)]
+    rows += [(4, 1, rows[0][2] * 12), (4, 2, "x" * 300 + rows[3][2]), (5, 1, None), (5, 2, "short")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    config = MatchConfig(window=10, posting=6, blank=4, strict=strict, results=3)
+    before = sorted(map(tuple, associate.associate(docs, docs, config).collect()))
+    monkeypatch.setattr(search, "LARGE_BYTES", 0)
+    monkeypatch.setattr(search, "ROWS_AT_ONCE", 50)
+    for query, target in ((docs, None), (docs.filter("doctype < 3"), "2-5")):
+        want = sorted(map(tuple, search.tallies(search.hits(query, docs, config, target), config).collect()))
+        assert want and sorted(map(tuple, search.run_tallies(query, docs, config, target).collect())) == want
+    runs = search.met_runs(docs, docs, config)
+    every = sorted(map(tuple, search.places(runs, config).collect()))
+    some = search.places(runs, config, 0, 4).collect() + search.places(runs, config, 4, None).collect()
+    assert sorted(map(tuple, some)) == every
+    assert sorted(map(tuple, associate.associate(docs, docs, config).collect())) == before
+    assert search.run_tallies(docs.filter("false"), docs, config).count() == 0
+    assert search.run_tallies(docs, docs.filter("false"), config).count() == 0
+
+
+def test_few_query_hashes_leave_other_postings_out(spark, docs, monkeypatch):
+    """All pairs of a small query write the postings of its own hashes only."""
+    from palimpsest.operators import search
+
+    seen = []
+    monkeypatch.setattr(search, "staged", lambda rows, name: seen.append((name, rows.count())) or rows)
+    query = docs.filter("doctype = 1 and docid = 3")
+    search.run_tallies(query, docs, MatchConfig())
+    windows = dict(seen)["postings"]
+    assert 0 < windows < index.postings(docs, MatchConfig()).count() / 4
